@@ -151,6 +151,11 @@ VIEWS: dict[str, str] = {
                CAST(floor(vec_id / 100) AS INT) AS slot, CAST(label % 4 AS INT) AS plane,
                (vec_id % 9 <> 0) AS valid, embedding AS feature
         FROM embeddings""",
+    # Reports with two explicit section headers around the whole text.
+    "reports": """
+        SELECT doc_id, lang, source,
+               concat(lang, ' findings : ', text, chr(10), chr(10), 'Impression:', chr(9), source) AS text
+        FROM documents""",
     "measurements": """
         SELECT concat('user-', CAST(user_id AS STRING)) AS unit, event_id,
                CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value
