@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,31 +40,41 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _casefold_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for lists in batches:
-        yield lists.map(lambda ts: [t.casefold() for t in ts], na_action="ignore")
-
-
 def nfkc(text: Column) -> Column:
     """Compatibility composition."""
     return F.coalesce(_nfkc(F.when(~is_plain(text), text)), text)
 
 
+@cache
+def _fold_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters whose folding differs, to one letter and to several; from Python's data."""
+    single, several = {}, {}
+    for point in range(0x20000):
+        c = chr(point)
+        folded = c.casefold()
+        if folded == c or c.lower() != c or unicodedata.normalize("NFKC", c) != c:
+            continue
+        (single if len(folded) == 1 else several)[c] = folded
+    return single, several
+
+
 def casefold_plain(text: Column) -> Column:
     """Case folding of plain text: lower case, sharp s doubled, final sigma unified."""
     return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
-def casefold_all(texts: Column, plain: Column) -> Column:
-    """Case folding of a list of texts."""
-    folded = _casefold_all(F.when(~plain, texts))
-    return F.coalesce(folded, F.transform(texts, casefold_plain))
+def _casefold_any(text: Column) -> Column:
+    single, several = _fold_tables()
+    folded = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    for letter, parts in several.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(parts))
+    return folded
 
 
-def casefold(text: Column) -> Column:
-    """Case folding of one text."""
-    return F.get(casefold_all(F.array(text), is_plain(text)), F.lit(0))
+def casefold(text: Column, plain: Column | None = None) -> Column:
+    """Case folding of composed text; ``plain`` says that the short form suffices."""
+    plain = is_plain(text) if plain is None else plain
+    return F.when(plain, casefold_plain(text)).otherwise(_casefold_any(text))
 
 
 def strip(text: Column) -> Column:

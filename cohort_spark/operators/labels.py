@@ -34,17 +34,29 @@ VERDICTS = {
 }
 
 
+def composed(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the NFKC form of a text column, null as empty.
+
+    The only Python in this module. It is a step of its own, so that expressions over the result
+    are not folded into the function's arguments and evaluated again.
+    """
+    return df.withColumn(name, X.nfkc(F.coalesce(F.col(text), F.lit(""))))
+
+
 def with_language(
-    df: DataFrame, text: str, *, name: str = "detected", composed: bool = False
+    df: DataFrame, text: str, *, name: str = "detected", is_composed: bool = False
 ) -> DataFrame:
-    """Add the detected language of a text column as a struct; ``composed`` text skips NFKC."""
-    same = F.col(text)
-    staged = df.withColumn("_letters", X.letters(same)).withColumns(
-        {"_scripts": X.script_counts(F.col("_letters")), "_nfkc": same if composed else X.nfkc(same)}
-    )
-    tokens = staged.withColumn("_tokens", X.marker_tokens(X.casefold(F.col("_nfkc"))))
+    """Add the detected language of a text column as a struct; ``is_composed`` skips NFKC."""
+    staged = df if is_composed else composed(df, text, "_nfkc")
+    source = F.col(text) if is_composed else F.col("_nfkc")
+    parts = staged.withColumns(
+        {
+            "_letters": X.letters(F.col(text)),
+            "_tokens": X.marker_tokens(X.casefold(source)),
+        }
+    ).withColumn("_scripts", X.script_counts(F.col("_letters")))
     detected = X.language_of(F.col("_scripts"), F.length("_letters"), F.col("_tokens"))
-    return tokens.withColumn(name, detected).drop("_letters", "_scripts", "_nfkc", "_tokens")
+    return parts.withColumn(name, detected).drop("_letters", "_scripts", "_nfkc", "_tokens")
 
 
 def script_profile(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -57,7 +69,9 @@ def script_profile(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 def parse_reports(df: DataFrame, text: str) -> DataFrame:
     """Add normalised text, sections and the sentences of the section bodies."""
     return (
-        df.withColumn("normalized_text", X.normalize_text(F.coalesce(F.col(text), F.lit(""))))
+        composed(df, text, "_nfkc")
+        .withColumn("normalized_text", X.tidy(F.col("_nfkc")))
+        .drop("_nfkc")
         .withColumn("sections", X.sections(F.col("normalized_text")))
         .withColumn("sentences", X.section_sentences(F.col("sections")))
     )
@@ -112,34 +126,44 @@ def _holds(text: Column, markers: Column) -> Column:
     return F.exists(markers, lambda m: F.contains(text, m))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; a plain reference would be evaluated per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _contexts(folded: Column, term: Column) -> Column:
     """Left and right context of every whole-word match of a term.
 
-    Splitting at the matches gives the pieces between them. A context is rebuilt from the last
+    Splitting at the matches gives the pieces between them. A context is rebuilt from the nearest
     pieces only: each carries the term, so as many pieces as context characters always suffice.
     """
-    pieces = F.split(folded, term["pattern"], -1)
-    left = F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT_BEFORE)))
-    right = F.transform(pieces, lambda p: F.left(p, F.lit(CONTEXT_AFTER)))
-    matches = F.size(pieces) - 1
-
-    def one(i: Column) -> Column:
-        first = F.greatest(i - CONTEXT_BEFORE, F.lit(0))
-        before = F.call_function(
-            "array_join", F.slice(left, first + 1, i - first + 1), term["term"]
-        )
-        after = F.call_function(
-            "array_join", F.slice(right, i + 2, F.lit(CONTEXT_AFTER + 1)), term["term"]
-        )
+
+    def around(pieces: Column) -> Column:
+        def one(i: Column) -> Column:
+            first = F.greatest(i - CONTEXT_BEFORE, F.lit(0))
+            before = F.slice(pieces["left"], first + 1, i - first + 1)
+            after = F.slice(pieces["right"], i + 2, F.lit(CONTEXT_AFTER + 1))
+            return F.struct(
+                F.right(
+                    F.call_function("array_join", before, term["term"]), F.lit(CONTEXT_BEFORE)
+                ).alias("before"),
+                F.left(
+                    F.call_function("array_join", after, term["term"]), F.lit(CONTEXT_AFTER)
+                ).alias("after"),
+            )
+
+        last = F.size(pieces["left"]) - 2
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+
+    def cut(pieces: Column) -> Column:
         return F.struct(
-            F.right(before, F.lit(CONTEXT_BEFORE)).alias("before"),
-            F.left(after, F.lit(CONTEXT_AFTER)).alias("after"),
+            F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT_BEFORE))).alias("left"),
+            F.transform(pieces, lambda p: F.left(p, F.lit(CONTEXT_AFTER))).alias("right"),
         )
 
-    numbers = F.when(matches > 0, F.sequence(F.lit(0), matches - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(numbers, one)
+    pieces = F.split(folded, term["pattern"], -1)
+    found = _let(pieces, lambda p: _let(cut(p), around))
+    return F.coalesce(found, F.array().cast("array<struct<before:string,after:string>>"))
 
 
 def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: Column) -> DataFrame:
@@ -148,11 +172,9 @@ def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: C
     Sentences without any term are dropped by one alternation before terms are looked up.
     """
     terms = _term_table(lexicon)
-    staged = df.withColumns(
+    staged = df.withColumn("_plain", F.forall(sentences, X.is_plain)).withColumns(
         {
-            "_folded": X.casefold_all(
-                F.col(sentences), F.forall(F.col(sentences), lambda s: X.is_plain(s))
-            ),
+            "_folded": F.transform(sentences, lambda s: X.casefold(s, F.col("_plain"))),
             "_negation": _markers_for(lexicon, "negation", language),
             "_uncertainty": _markers_for(lexicon, "uncertainty", language),
             "_pathology": _markers_for(lexicon, "pathology", language),
@@ -208,7 +230,7 @@ def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: C
         return F.flatten(F.transform(found, lambda t: of_term(s, t)))
 
     return ready.withColumn("matches", F.flatten(F.transform("_judged", of_sentence))).drop(
-        "_folded", "_negation", "_uncertainty", "_pathology", "_hits", "_judged", "_after"
+        "_plain", "_folded", "_negation", "_uncertainty", "_pathology", "_hits", "_judged", "_after"
     )
 
 
@@ -273,7 +295,7 @@ def label_corpus(
     require_columns(reports, [text, *keep])
     lexicon = lexicon if targets is None else lexicon.restricted(targets)
     parsed = parse_reports(reports.select(*keep, text), text)
-    detected = with_language(parsed, "normalized_text", composed=True)
+    detected = with_language(parsed, "normalized_text", is_composed=True)
     matched = with_matches(
         detected, lexicon, sentences="sentences", language=F.col("detected.language")
     ).select(
@@ -349,9 +371,9 @@ def duplicate_texts(reports: DataFrame, text: str) -> DataFrame:
     Texts are replaced by a digest before the shuffle and combined map-side, so a group of copies
     of any size costs one row per task.
     """
-    folded = X.casefold(X.normalize_text(F.coalesce(F.col(text), F.lit(""))))
+    tidy = composed(reports.select(text), text, "_nfkc").select(X.tidy(F.col("_nfkc")).alias("_tidy"))
     return (
-        reports.select(folded.alias("_text"))
+        tidy.select(X.casefold(F.col("_tidy")).alias("_text"))
         .where(F.col("_text") != "")
         .groupBy(F.sha2("_text", 256).alias("digest"))
         .agg(F.count("*").alias("n"))
