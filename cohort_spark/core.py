@@ -82,6 +82,16 @@ def to_wide(
     return long.groupBy(*keys).agg(*cells)
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed exactly once per row.
+
+    The optimizer copies a column's expression into every later filter and single use, which repeats
+    long text expressions without bound. As the output of a generator it is left alone.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode_outer(F.array(value)).alias(name))
+
+
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small configured dimension as a DataFrame."""
     return spark.createDataFrame(list(rows), schema)

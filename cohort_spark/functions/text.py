@@ -15,9 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Python's notions of space and word character, in Java's syntax.
+# Python's notions of space and word character: as a list for trimming, and in Java's syntax.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE = r"[\s\x1c-\x1f]"
 WORD = r"\p{L}\p{N}_"
+LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
 # Characters that NFKC leaves alone and whose case folding is lower case, but for two letters.
 PLAIN = (
@@ -30,8 +32,11 @@ PLAIN = (
 
 
 def is_plain(text: Column) -> Column:
-    """True when the built-in expressions normalise and fold the text exactly."""
-    return ~text.rlike(f"[^{PLAIN}]")
+    """True when the built-in expressions normalise and fold the text exactly.
+
+    ASCII is removed first, which leaves little for the costlier test.
+    """
+    return ~F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(f"[^{PLAIN}]")
 
 
 @F.pandas_udf(T.StringType())
@@ -60,7 +65,8 @@ def _fold_tables() -> tuple[dict[str, str], dict[str, str]]:
 
 def casefold_plain(text: Column) -> Column:
     """Case folding of plain text: lower case, sharp s doubled, final sigma unified."""
-    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    lower = F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+    return F.replace(lower, F.lit("ß"), F.lit("ss"))
 
 
 def _casefold_any(text: Column) -> Column:
@@ -79,16 +85,14 @@ def casefold(text: Column, plain: Column | None = None) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove surrounding white space of any kind."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tidy(text: Column) -> Column:
     """White-space part of the normalisation: one space, trimmed lines, no blank lines."""
-    text = F.regexp_replace(text, r"\x00", " ")
-    text = F.regexp_replace(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n")
-    text = F.regexp_replace(text, r"[\t ]+", " ")
-    text = F.regexp_replace(text, rf"(?U){SPACE}*\n{SPACE}*", "\n")
-    return strip(text)
+    lines = F.split(F.replace(text, F.lit("\0"), F.lit(" ")), LINE_END, -1)
+    trimmed = F.transform(lines, lambda line: strip(F.regexp_replace(line, r"[\t ]{2,}|\t", " ")))
+    return F.array_join(F.filter(trimmed, lambda line: line != ""), "\n")
 
 
 def normalize_text(text: Column) -> Column:
@@ -190,31 +194,41 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}]+", "")
 
 
-def script_counts(only_letters: Column) -> Column:
-    """Letters per writing system as an array of (script, letters, first), largest first.
+def latin_letters(only_letters: Column) -> Column:
+    """Number of Latin letters in a run of letters."""
+    return F.length(F.regexp_replace(only_letters, f"[^[{SCRIPTS['LATIN']}]]+", ""))
 
-    Ties go to the script that is seen first. Texts in one script stop after the first test.
-    """
-    total = F.length(only_letters)
 
-    def count(script: str) -> Column:
-        return F.length(F.regexp_replace(only_letters, f"[^[{SCRIPTS[script]}]]+", ""))
+def script_counts(only_letters: Column, total: Column, latin: Column) -> Column:
+    """Letters per writing system as an array of (script, letters), largest first.
 
-    latin = count("LATIN")
+    Ties go to the script that is seen first. ``total`` and ``latin`` are the lengths of all and of
+    the Latin letters; a text in Latin only is settled by them.
+    """
     mixed = latin < total
-    counts = {s: latin if s == "LATIN" else F.when(mixed, count(s)).otherwise(0) for s in SCRIPTS}
-    named = F.lit(0)
-    for c in counts.values():
-        named = named + c
-    anything = "".join(f"[{c}]" for c in SCRIPTS.values())
-
-    def entry(script: str, number: Column, pattern: str) -> Column:
-        first = F.when(mixed & (number > 0), F.regexp_instr(only_letters, F.lit(pattern))).otherwise(1)
-        return F.struct((-number).alias("order"), first.alias("first"), F.lit(script).alias("script"))
-
-    entries = [entry(s, n, f"[{SCRIPTS[s]}]") for s, n in counts.items()]
-    entries.append(entry("OTHER", total - named, f"[^{anything}]"))
-    present = F.filter(F.array(*entries), lambda e: e["order"] < 0)
+
+    def entry(letters_of: Column, script: Column, first: Column) -> Column:
+        return F.struct(
+            (-letters_of).alias("order"), first.alias("first"), script.alias("script")
+        )
+
+    classes = F.array(
+        *[F.struct(F.lit(s).alias("script"), F.lit(f"[{c}]").alias("letter")) for s, c in SCRIPTS.items()],
+        F.struct(
+            F.lit("OTHER").alias("script"),
+            F.lit("[^" + "".join(f"[{c}]" for c in SCRIPTS.values()) + "]").alias("letter"),
+        ),
+    )
+    counted = F.transform(
+        classes,
+        lambda c: entry(
+            F.length(only_letters) - F.length(F.regexp_replace(only_letters, c["letter"], F.lit(""))),
+            c["script"],
+            F.regexp_instr(only_letters, c["letter"]),
+        ),
+    )
+    only_latin = F.array(entry(total, F.lit("LATIN"), F.lit(1)))
+    present = F.filter(F.when(mixed, counted).otherwise(only_latin), lambda e: e["order"] < 0)
     return F.transform(
         F.array_sort(present),
         lambda e: F.struct(e["script"].alias("script"), (-e["order"]).alias("letters")),
@@ -234,8 +248,10 @@ def _marker_scores(tokens: Column, markers: dict[str, Sequence[str]]) -> Column:
 
 
 def marker_tokens(folded: Column) -> Column:
-    """Distinct letter runs of a folded text."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{No}\p{Nl}]+)"), F.lit(1)))
+    """The distinct letter runs of a folded text that are marker words of some language."""
+    words = sorted({w for t in (LATIN_MARKERS, CYRILLIC_MARKERS) for ws in t.values() for w in ws})
+    runs = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{No}\p{Nl}]+"), F.lit(0))
+    return F.array_intersect(runs, F.array(*[F.lit(w) for w in words]))
 
 
 def language_of(scripts: Column, total: Column, tokens: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.core import finite, require_columns
+from cohort_spark.core import finite, require_columns, settled
 from cohort_spark.functions import text as X
 from cohort_spark.functions.lexicon import KNEE, Lexicon
 from cohort_spark.functions.probability import sigmoid_margin
@@ -54,27 +54,32 @@ def with_language(
             "_letters": X.letters(F.col(text)),
             "_tokens": X.marker_tokens(X.casefold(source)),
         }
-    ).withColumn("_scripts", X.script_counts(F.col("_letters")))
+    )
+    parts = _with_scripts(parts)
+    tokens = settled(parts, "_tokens", F.col("_tokens"))
     detected = X.language_of(F.col("_scripts"), F.length("_letters"), F.col("_tokens"))
-    return parts.withColumn(name, detected).drop("_letters", "_scripts", "_nfkc", "_tokens")
+    return settled(tokens, name, detected).drop("_letters", "_scripts", "_nfkc", "_tokens")
+
+
+def _with_scripts(df: DataFrame) -> DataFrame:
+    """Add ``_scripts`` to rows with ``_letters``."""
+    counted = settled(df, "_latin", X.latin_letters(F.col("_letters")))
+    scripts = X.script_counts(F.col("_letters"), F.length("_letters"), F.col("_latin"))
+    return settled(counted, "_scripts", scripts).drop("_latin")
 
 
 def script_profile(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """Letters per writing system, one row per (text, script)."""
-    return df.select(*keep, X.letters(F.col(text)).alias("_letters")).select(
-        *keep, F.inline(X.script_counts(F.col("_letters")))
-    )
+    lettered = settled(df.select(*keep, text), "_letters", X.letters(F.col(text)))
+    profile = _with_scripts(lettered).select(*keep, F.inline_outer("_scripts"))
+    return profile.where(F.col("script").isNotNull())
 
 
 def parse_reports(df: DataFrame, text: str) -> DataFrame:
     """Add normalised text, sections and the sentences of the section bodies."""
-    return (
-        composed(df, text, "_nfkc")
-        .withColumn("normalized_text", X.tidy(F.col("_nfkc")))
-        .drop("_nfkc")
-        .withColumn("sections", X.sections(F.col("normalized_text")))
-        .withColumn("sentences", X.section_sentences(F.col("sections")))
-    )
+    tidy = settled(composed(df, text, "_nfkc"), "normalized_text", X.tidy(F.col("_nfkc"))).drop("_nfkc")
+    parsed = settled(tidy, "sections", X.sections(F.col("normalized_text")))
+    return settled(parsed, "sentences", X.section_sentences(F.col("sections")))
 
 
 # --- term matching -------------------------------------------------------------------------------
@@ -85,12 +90,9 @@ def _quoted(term: str) -> str:
 
 
 def _whole_word(term: str) -> str:
-    return f"(?<![{X.WORD}]){_quoted(term)}(?![{X.WORD}])"
-
-
-def _any_term(lexicon: Lexicon) -> str:
-    folded = sorted({t.casefold() for terms in lexicon.terms.values() for t in terms})
-    return f"(?<![{X.WORD}])(?:" + "|".join(_quoted(t) for t in folded) + f")(?![{X.WORD}])"
+    """The term between non-word characters; the literal comes first, which scans fastest."""
+    literal = _quoted(term)
+    return f"{literal}(?<![{X.WORD}]{literal})(?![{X.WORD}])"
 
 
 def _term_table(lexicon: Lexicon) -> Column:
@@ -169,7 +171,7 @@ def _contexts(folded: Column, term: Column) -> Column:
 def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: Column) -> DataFrame:
     """Add ``matches``: every term occurrence as (target, term, position, sentence, status).
 
-    Sentences without any term are dropped by one alternation before terms are looked up.
+    Sentences are first reduced to those that contain some term as plain text.
     """
     terms = _term_table(lexicon)
     staged = df.withColumn("_plain", F.forall(sentences, X.is_plain)).withColumns(
@@ -180,14 +182,16 @@ def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: C
             "_pathology": _markers_for(lexicon, "pathology", language),
         }
     )
-    any_term = _any_term(lexicon)
     numbered = F.transform(
         F.arrays_zip(F.col("_folded").alias("folded"), F.col(sentences).alias("sentence")),
         lambda s, i: F.struct(
             i.alias("position"), s["sentence"].alias("sentence"), s["folded"].alias("folded")
         ),
     )
-    hits = staged.withColumn("_hits", F.filter(numbered, lambda s: s["folded"].rlike(any_term)))
+    words = F.array(*[F.lit(t) for t in sorted({t.casefold() for ts in lexicon.terms.values() for t in ts})])
+    hits = staged.withColumn(
+        "_hits", F.filter(numbered, lambda s: F.exists(words, lambda t: F.contains(s["folded"], t)))
+    )
 
     def judged(s: Column) -> Column:
         return F.struct(
@@ -198,7 +202,7 @@ def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: C
             _holds(s["folded"], F.col("_pathology")).alias("pathology"),
         )
 
-    judged_hits = hits.withColumn("_judged", F.transform("_hits", judged))
+    judged_hits = settled(hits, "_judged", F.transform("_hits", judged))
     after_markers = F.filter(
         F.transform("_negation", lambda m: F.trim(m)), lambda m: m.isin(*AFTER_MARKERS)
     )
@@ -229,14 +233,14 @@ def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: C
         found = F.filter(terms, lambda t: F.contains(s["folded"], t["term"]))
         return F.flatten(F.transform(found, lambda t: of_term(s, t)))
 
-    return ready.withColumn("matches", F.flatten(F.transform("_judged", of_sentence))).drop(
+    return settled(ready, "matches", F.flatten(F.transform("_judged", of_sentence))).drop(
         "_plain", "_folded", "_negation", "_uncertainty", "_pathology", "_hits", "_judged", "_after"
     )
 
 
 def lexicon_matches(matched: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per term occurrence."""
-    return matched.select(*keep, F.inline("matches"))
+    return matched.select(*keep, F.inline_outer("matches")).where(F.col("target").isNotNull())
 
 
 def label_targets(matched: DataFrame, targets: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -162,8 +162,8 @@ oc AS (SELECT doc_id, position, sentence, folded, target, term, needs_marker, st
 mt AS (SELECT *, unnest(range(1, len(pieces))) AS j FROM oc),
 wd AS (SELECT * FROM mt WHERE (CASE WHEN pieces[j] = '' THEN j = 1 ELSE NOT regexp_matches(right(pieces[j], 1), '[\pL\pN_]') END)
    AND (CASE WHEN pieces[j + 1] = '' THEN j + 1 = len(pieces) ELSE NOT regexp_matches(left(pieces[j + 1], 1), '[\pL\pN_]') END)),
-cx AS (SELECT *, right(array_to_string(pieces[greatest(1, j - 100):j], term), 100) AS bef,
-   left(array_to_string(pieces[j + 1:j + 61], term), 60) AS aft FROM wd),
+sp AS (SELECT *, CAST(list_sum(list_transform(pieces[1:j], lambda p: length(p))) AS BIGINT) + (j - 1) * length(term) AS start FROM wd),
+cx AS (SELECT *, right(left(folded, start), 100) AS bef, substr(folded, start + length(term) + 1, 60) AS aft FROM sp),
 ev AS (SELECT doc_id, target, term, position, sentence, CASE
    WHEN len(list_filter(neg, lambda m: contains(bef, m))) > 0
      OR len(list_filter(neg, lambda m: trim(m) IN ('intact', 'normal') AND contains(aft, trim(m)))) > 0 THEN 'negative'
