@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.core import ContractError, finite, require_columns
+from cohort_spark.core import ContractError, durable, finite, require_columns
 from cohort_spark.operators.metrics import auc_of_counts, macro, score_counts
 
 # Rule weights tried by the label blends (fixed values).
@@ -145,18 +145,8 @@ def blend_selection(long: DataFrame, weights: Sequence[float] = RULE_WEIGHTS) ->
     )
 
 
-def nested_fusion_weights(
-    long: DataFrame,
-    sources: Sequence[str],
-    *,
-    step: float = 0.05,
-    per_target: bool = False,
-) -> DataFrame:
-    """Per held-out fold (and target), the simplex weights with the best AUC on the other folds.
-
-    ``long`` has one column per source. Only gold rows are fanned out to candidates; equal scores go
-    to the first candidate in lexicographic order.
-    """
+def _fusion_aucs(long: DataFrame, sources: Sequence[str], step: float) -> tuple[DataFrame, Column]:
+    """AUC per (held_out, candidate, target) away from the held-out fold, and the weight vectors."""
     require_columns(long, ["fold", "target", "gold", *sources])
     candidates = simplex_weights(len(sources), step)
 
@@ -166,31 +156,51 @@ def nested_fusion_weights(
             total = total + F.lit(w) * F.col(s)
         return total
 
+    # Only gold rows are fanned out.
     known = long.where(finite(F.col("gold")).isNotNull())
     fanned = known.select(
-        "fold",
-        "target",
-        "gold",
-        F.posexplode(F.array(*[mixed(w) for w in candidates])).alias("candidate", "score"),
+        "fold", "target", "gold", _fan_out([mixed(w) for w in candidates])
     )
     counts = score_counts(fanned, ["fold", "candidate"], check=False)
-    folds = _folds(long)
-    dev = _merge_scores(_held_out_counts(counts, folds), ["held_out", "candidate"])
-    aucs = auc_of_counts(dev, ["held_out", "candidate"])
+    dev = _merge_scores(_held_out_counts(counts, _folds(long)), ["held_out", "candidate"])
+    vectors = F.array(*[F.array(*[F.lit(v) for v in w]) for w in candidates])
+    return auc_of_counts(dev, ["held_out", "candidate"]), F.get(vectors, F.col("candidate"))
+
+
+def simplex_scores(long: DataFrame, sources: Sequence[str], *, step: float = 0.05) -> DataFrame:
+    """Macro AUC of every weight vector on the folds other than each held-out one."""
+    aucs, vector = _fusion_aucs(long, sources, step)
+    scored = macro(aucs, ["held_out", "candidate"])
+    return scored.select("held_out", vector.alias("weights"), "macro_auc")
+
+
+def nested_fusion_weights(
+    long: DataFrame,
+    sources: Sequence[str],
+    *,
+    step: float = 0.05,
+    per_target: bool = False,
+) -> DataFrame:
+    """Per held-out fold (and target), the simplex weights with the best AUC on the other folds.
+
+    ``long`` has one column per source; equal scores go to the first candidate in lexicographic
+    order.
+    """
+    aucs, vector = _fusion_aucs(long, sources, step)
     if per_target:
         keys, score, scored = ["held_out", "target"], "auc", aucs
     else:
         keys, score = ["held_out"], "macro_auc"
         scored = macro(aucs, ["held_out", "candidate"])
-    vectors = F.array(*[F.array(*[F.lit(v) for v in w]) for w in candidates])
-    best = _first_best(scored, keys, score).select(
-        *keys,
-        F.get(vectors, F.col("candidate")).alias("weights"),
-        F.col(score).alias("development_auc"),
+    # One row per configured fold (and target).
+    best = durable(
+        _first_best(scored, keys, score).select(
+            *keys, vector.alias("weights"), F.col(score).alias("development_auc")
+        )
     )
     # Fail closed: every held-out fold (and target) needs gold of both classes elsewhere.
     found = best.where("development_auc IS NOT NULL").count()
-    groups = len(folds) * (long.select("target").distinct().count() if per_target else 1)
+    groups = len(_folds(long)) * (long.select("target").distinct().count() if per_target else 1)
     if found < groups:
         raise ContractError("a held-out fold has no usable training gold")
     return best

@@ -282,17 +282,6 @@ def blend_selection(spark, sf_dir):
     return rounded(B.blend_selection(blend_rows(spark, sf_dir)), "macro_auc")
 
 
-@query(
-    """SELECT CAST(i AS INT) AS candidate, i / 4.0 AS w0, j / 4.0 AS w1, (4 - i - j) / 4.0 AS w2 FROM (
-       SELECT a.i AS x, b.j AS y, a.i, b.j FROM range(0) a(i), range(0) b(j)) WHERE false
-       UNION ALL SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INT), i / 4.0, j / 4.0, (4 - i - j) / 4.0
-       FROM range(5) a(i), range(5) b(j) WHERE i + j <= 4"""
-)
-def simplex_weights(spark, sf_dir):
-    rows = [(i, *w) for i, w in enumerate(B.simplex_weights(3, 0.25))]
-    return spark.createDataFrame(rows, "candidate int, w0 double, w1 double, w2 double")
-
-
 FUSION_SQL = """
 wide AS (SELECT g.StudyInstanceUID, g.fold, g.target, g.gold, max(CASE WHEN model = 'a' THEN score END) AS a,
    max(CASE WHEN model = 'b' THEN score END) AS b, max(CASE WHEN model = 'c' THEN score END) AS c

@@ -161,8 +161,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value
         FROM events""",
     # Units asked for and units with files.
-    "requested": "SELECT concat('study-', CAST(c_custkey AS STRING)) AS unit FROM customer",
-    "completed": "SELECT concat('study-', CAST(o_custkey AS STRING)) AS unit FROM orders",
+    "requested": "SELECT concat('study-', CAST(doc_id AS STRING)) AS unit FROM documents",
+    "completed": "SELECT concat('study-', CAST(doc_id AS STRING)) AS unit FROM labels",
     # Parts of one extraction run: declared and found row counts per market segment.
     "run_manifest": """
         SELECT c_mktsegment AS run, count(*) AS declared_parts,
@@ -195,7 +195,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a view over the driver tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     for table in used:
         text = re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
