@@ -34,9 +34,10 @@ PLAIN = (
 def is_plain(text: Column) -> Column:
     """True when the built-in expressions normalise and fold the text exactly.
 
-    ASCII is removed first, which leaves little for the costlier test.
+    ASCII is settled first and removed before the costlier test.
     """
-    return ~F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(f"[^{PLAIN}]")
+    beyond = F.regexp_replace(text, r"[\x00-\x7f]+", "")
+    return ~text.rlike(r"[^\x00-\x7f]") | ~beyond.rlike(f"[^{PLAIN}]")
 
 
 @F.pandas_udf(T.StringType())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.core import ContractError, guarded, require_columns
@@ -27,54 +27,52 @@ def stack_models(tables: Mapping[str, DataFrame]) -> DataFrame:
     return stacked
 
 
-def _weight(weights: Mapping[str, float] | None) -> Column:
-    if weights is None:
-        return F.lit(1.0)
-    values = list(weights.values())
+def _normalised(models: Sequence[str], weights: Mapping[str, float] | None) -> list[float]:
+    """One weight per model, summing to one."""
+    values = [1.0 if weights is None else float(weights[m]) for m in models]
+    if not models or len(set(models)) != len(models):
+        raise ValueError("models must be named once each")
+    if weights is not None and set(weights) != set(models):
+        raise ValueError("one weight per model is required")
     if any(not (0 <= w < float("inf")) for w in values) or sum(values) <= 0:
         raise ValueError("ensemble weights must be non-negative with a positive sum")
-    chosen = F.lit(None).cast("double")
-    for name, w in weights.items():
-        chosen = F.when(F.col("model") == name, float(w)).otherwise(chosen)
-    return guarded(chosen, chosen.isNotNull(), "a model has no ensemble weight")
+    return [w / sum(values) for w in values]
 
 
 def ensemble_mean(
     stacked: DataFrame,
     *,
-    models: int,
+    models: Sequence[str],
     weights: Mapping[str, float] | None = None,
     keys: Sequence[str] = ("StudyInstanceUID", "target"),
 ) -> DataFrame:
-    """Weighted mean per row and target; a row that lacks a model fails the job.
+    """Weighted mean per row and target; a row without exactly one score of each model fails the job.
 
-    All models are averaged in one aggregation instead of a chain of joins.
+    All models are brought together in one aggregation instead of a chain of joins, and added in the
+    order given, so equal inputs give equal sums whatever the order of rows.
     """
     require_columns(stacked, ["model", "score", *keys])
-    if weights is not None and len(weights) != models:
-        raise ValueError("one weight per model is required")
-    staged = stacked.select(
-        *keys, "model", _weight(weights).alias("_w"), checked_probability(F.col("score")).alias("score")
+    shares = _normalised(models, weights)
+    score = checked_probability(F.col("score"))
+    staged = stacked.select(*keys, "model", score.alias("score"))
+    wide = staged.groupBy(*keys).agg(
+        F.count("*").alias("_rows"),
+        *[F.max(F.when(F.col("model") == m, F.col("score"))).alias(f"_{i}") for i, m in enumerate(models)],
     )
-    mean = F.sum(F.col("_w") * F.col("score")) / F.sum("_w")
-    return (
-        staged.groupBy(*keys)
-        .agg(mean.alias("score"), F.count("*").alias("_rows"))
-        .select(
-            *keys,
-            guarded(
-                F.col("score"),
-                F.col("_rows") == models,
-                "every row needs exactly one score of each model",
-            ).alias("score"),
-        )
+    total, complete = F.lit(0.0), F.col("_rows") == len(models)
+    for i, share in enumerate(shares):
+        total = total + F.col(f"_{i}") * share
+        complete = complete & F.col(f"_{i}").isNotNull()
+    return wide.select(
+        *keys,
+        guarded(total, complete, "every row needs exactly one score of each model").alias("score"),
     )
 
 
 def ensemble_rank(
     stacked: DataFrame,
     *,
-    models: int,
+    models: Sequence[str],
     weights: Mapping[str, float] | None = None,
     keys: Sequence[str] = ("StudyInstanceUID", "target"),
 ) -> DataFrame:
@@ -92,7 +90,7 @@ def ensemble_compare(
     stacked: DataFrame,
     gold: DataFrame,
     *,
-    models: int,
+    models: Sequence[str],
     weights: Mapping[str, float] | None = None,
     keys: Sequence[str] = ("StudyInstanceUID", "target"),
 ) -> DataFrame:

@@ -168,13 +168,22 @@ def _contexts(folded: Column, term: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<struct<before:string,after:string>>"))
 
 
-def with_matches(df: DataFrame, lexicon: Lexicon, *, sentences: str, language: Column) -> DataFrame:
+def with_matches(
+    df: DataFrame,
+    lexicon: Lexicon,
+    *,
+    sentences: str,
+    language: Column,
+    text: str | None = None,
+) -> DataFrame:
     """Add ``matches``: every term occurrence as (target, term, position, sentence, status).
 
-    Sentences are first reduced to those that contain some term as plain text.
+    Sentences are first reduced to those that contain some term as plain text. ``text`` names the
+    column the sentences come from, which is tested once for plain characters instead of each.
     """
     terms = _term_table(lexicon)
-    staged = df.withColumn("_plain", F.forall(sentences, X.is_plain)).withColumns(
+    plain = X.is_plain(F.col(text)) if text else F.forall(sentences, X.is_plain)
+    staged = settled(df, "_plain", plain).withColumns(
         {
             "_folded": F.transform(sentences, lambda s: X.casefold(s, F.col("_plain"))),
             "_negation": _markers_for(lexicon, "negation", language),
@@ -301,7 +310,11 @@ def label_corpus(
     parsed = parse_reports(reports.select(*keep, text), text)
     detected = with_language(parsed, "normalized_text", is_composed=True)
     matched = with_matches(
-        detected, lexicon, sentences="sentences", language=F.col("detected.language")
+        detected,
+        lexicon,
+        sentences="sentences",
+        language=F.col("detected.language"),
+        text="normalized_text",
     ).select(
         *keep,
         F.col("detected.language").alias("language"),

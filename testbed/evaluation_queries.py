@@ -164,6 +164,7 @@ def bootstrap_auc(spark, sf_dir):
     return M.bootstrap_auc(predictions(spark, sf_dir), iterations=200)
 
 
+MODELS = ("a", "b", "c")
 WEIGHTS = {"a": 1.0, "b": 3.0, "c": 2.0}
 
 
@@ -176,7 +177,7 @@ WEIGHTS = {"a": 1.0, "b": 3.0, "c": 2.0}
 )
 def ensemble_mean(spark, sf_dir):
     return rounded(
-        E.ensemble_mean(load(spark, sf_dir, "models"), models=3, weights=WEIGHTS), "score"
+        E.ensemble_mean(load(spark, sf_dir, "models"), models=MODELS, weights=WEIGHTS), "score"
     )
 
 
@@ -187,22 +188,24 @@ def ensemble_mean(spark, sf_dir):
     )
 )
 def ensemble_rank(spark, sf_dir):
-    return rounded(E.ensemble_rank(load(spark, sf_dir, "models"), models=3), "score")
+    return rounded(E.ensemble_rank(load(spark, sf_dir, "models"), models=MODELS), "score")
 
 
 @query(
     with_views(
         "models gold",
         "WITH " + RANK_SQL.strip() + """,
-        e AS (SELECT 'probability' AS method, StudyInstanceUID, target, avg(score) AS score FROM models GROUP BY 2, 3
-              UNION ALL SELECT 'rank', StudyInstanceUID, target, avg(pr) FROM rk GROUP BY 2, 3),
-        j AS (SELECT method, e.target, round(e.score, 12) AS score, gold FROM e JOIN gold g ON e.StudyInstanceUID = g.StudyInstanceUID AND e.target = g.target),
+        px AS (SELECT 'probability' AS method, StudyInstanceUID, target, model, score AS v FROM models
+              UNION ALL SELECT 'rank', StudyInstanceUID, target, model, pr FROM rk),
+        e AS (SELECT method, StudyInstanceUID, target, ((CAST(0 AS DOUBLE) + max(v) FILTER (WHERE model = 'a') * (CAST(1 AS DOUBLE) / 3))
+              + max(v) FILTER (WHERE model = 'b') * (CAST(1 AS DOUBLE) / 3)) + max(v) FILTER (WHERE model = 'c') * (CAST(1 AS DOUBLE) / 3) AS score FROM px GROUP BY 1, 2, 3),
+        j AS (SELECT method, e.target, e.score, gold FROM e JOIN gold g ON e.StudyInstanceUID = g.StudyInstanceUID AND e.target = g.target),
         """ + auc_sql("j", "method") + """ SELECT method, round(avg(auc), 6) AS macro_auc, count(auc) AS valid_target_count, count(*) AS target_count
         FROM aucs GROUP BY 1""",
     )
 )
 def ensemble_compare(spark, sf_dir):
-    compared = E.ensemble_compare(load(spark, sf_dir, "models"), load(spark, sf_dir, "gold"), models=3)
+    compared = E.ensemble_compare(load(spark, sf_dir, "models"), load(spark, sf_dir, "gold"), models=MODELS)
     return rounded(compared, "macro_auc")
 
 

@@ -177,7 +177,11 @@ def matched(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     detected = L.with_language(L.parse_reports(docs, "text"), "normalized_text", is_composed=True)
     return L.with_matches(
-        detected, LEXICON, sentences="sentences", language=F.col("detected.language")
+        detected,
+        LEXICON,
+        sentences="sentences",
+        language=F.col("detected.language"),
+        text="normalized_text",
     )
 
 
