@@ -26,6 +26,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     raise ContractError(f"unsupported table suffix: {suffix}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out when it has fewer partitions than the session has cores.
+
+    For costly per-row work on files of few, large row groups. A scan with enough partitions is
+    returned as it is, without a shuffle. Counting partitions plans the scan and runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 4)
+
+
 def read_parts(spark: SparkSession, root: str) -> DataFrame:
     """All ``part-*.parquet`` files of an extraction as one table; missing columns become null."""
     try:
