@@ -110,7 +110,7 @@ def nested_blend(
     """Training target of every row for every held-out fold: gold, else the fold's blend.
 
     One row per (row, target, held-out fold); the fold count is configured, so the chosen weights
-    are a handful of rows and are broadcast.
+    are a handful of rows and are used as one scalar list.
     """
     chosen = nested_blend_weights(long, weights)
     # The number of folds bounds this list.
@@ -119,7 +119,7 @@ def nested_blend(
     )
     mixed = (1.0 - F.col("rule_weight")) * F.col("semantic") + F.col("rule_weight") * F.col("rule")
     return (
-        long.join(F.broadcast(per_fold))
+        long.withColumn("_chosen", per_fold.scalar())
         .select("*", F.inline("_chosen"))
         .select(
             identifier,

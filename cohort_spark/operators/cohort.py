@@ -40,7 +40,7 @@ def leakage_group(
     """Add ``leakage_group`` and ``group_source``: shared patients when they survive, else studies.
 
     Patients group the rows when a trimmed, non-blank value is shared and enough groups remain; rows
-    without one get a group of their own. The decision is one aggregate, joined as a single row.
+    without one get a group of their own. The decision is one aggregate, used as a scalar.
     """
     if patient not in inventory.columns:
         return inventory.withColumns(
@@ -59,7 +59,7 @@ def leakage_group(
         )
     )
     return (
-        inventory.join(F.broadcast(decision))
+        inventory.withColumn("_by_patient", decision.scalar())
         .withColumns(
             {
                 "leakage_group": F.when(F.col("_by_patient"), grouped).otherwise(

@@ -353,9 +353,8 @@ def manifest_audit(ordered: DataFrame, failures: DataFrame | None = None) -> Dat
     )
     if failures is None:
         return audit.withColumn("failed_header_count", F.lit(0).cast("bigint"))
-    # Both sides are a single row.
     counted = failures.agg(F.count("*").alias("failed_header_count"))
-    return audit.join(F.broadcast(counted))
+    return audit.withColumn("failed_header_count", counted.scalar())
 
 
 def score_children(series: DataFrame, preferred: Sequence[str] = S.PLANES) -> DataFrame:

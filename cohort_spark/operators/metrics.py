@@ -236,9 +236,8 @@ def bootstrap_auc(
         F.count("macro_auc").alias("valid_bootstraps"),
         F.lit(iterations).alias("requested_bootstraps"),
     )
-    # Both sides are one row.
-    point = macro(auc(long)).select(F.col("macro_auc").alias("point_estimate"))
-    return point.join(F.broadcast(interval))
+    point = macro(auc(long)).select("macro_auc")
+    return interval.select(point.scalar().alias("point_estimate"), "*")
 
 
 def score_quantiles(long: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:

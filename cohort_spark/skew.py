@@ -115,11 +115,11 @@ def exact_quantiles(
     )
     totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     totals = totals.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    # One row per group on the right (one row in all without keys); null keys match.
+    # One row per group on the right, null keys matching; a scalar without keys.
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    sized = ranked.join(totals if keys else F.broadcast(totals), same)
+    sized = ranked.join(totals, same) if keys else ranked.withColumn("_n", totals.scalar())
     picks = []
     for name, p in probabilities.items():
         spot = F.lit(float(p)) * (F.col("_n") - 1)
