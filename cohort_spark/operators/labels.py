@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.core import finite, require_columns, settled
+from cohort_spark.core import durable, finite, require_columns, settled
 from cohort_spark.functions import text as X
 from cohort_spark.functions.lexicon import KNEE, Lexicon
 from cohort_spark.functions.probability import sigmoid_margin
@@ -329,8 +329,10 @@ def label_corpus(
 def weak_label_audit(labels: DataFrame) -> DataFrame:
     """Coverage, gold AUC and accuracy of determinate labels per target.
 
-    Needs ``target, gold, weak_probability, weak_label``.
+    Needs ``target, gold, weak_probability, weak_label``. These cells are stored once, because both
+    aggregations read them and labelling is the costly part.
     """
+    labels = durable(labels.select("target", "gold", "weak_probability", "weak_label"))
     gold = finite(F.col("gold"))
     determinate = F.col("weak_label").isNotNull()
     counted = labels.groupBy("target").agg(

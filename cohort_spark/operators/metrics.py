@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.core import finite, require_columns
+from cohort_spark.core import durable, finite, require_columns
 from cohort_spark.functions.probability import checked_probability, cross_entropy
 from cohort_spark.skew import exact_quantiles, running_totals
 
@@ -49,10 +49,13 @@ def score_counts(
 def auc_of_counts(
     counts: DataFrame, keys: Sequence[str] = (), *, rows_per_task: int | None = None
 ) -> DataFrame:
-    """Tie-aware ROC AUC per (keys, target) from ``score_counts``; null when a class is absent."""
+    """Tie-aware ROC AUC per (keys, target) from ``score_counts``; null when a class is absent.
+
+    The counts are stored: measuring the largest group must not repeat the pass that made them.
+    """
     group = [*keys, "target"]
     below = running_totals(
-        counts,
+        durable(counts),
         group,
         [F.col("score").asc_nulls_first()],
         {"_below": F.col("negatives")},
@@ -175,7 +178,7 @@ def percentile_ranks(
     """
     keys = list(keys)
     score = F.col("score") + F.lit(0.0)
-    counted = scores.groupBy(*keys, score.alias("score")).agg(F.count("*").alias("_c"))
+    counted = durable(scores.groupBy(*keys, score.alias("score")).agg(F.count("*").alias("_c")))
     below = running_totals(
         counted, keys, [F.col("score")], {"_below": F.col("_c")}, rows_per_task=rows_per_task
     )

@@ -109,7 +109,9 @@ def exact_quantiles(
     keeps none, whatever the size of the group.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counted = durable(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    )
     ranked = running_totals(
         counted, keys, [F.col(value)], {"_below": F.col("_c")}, rows_per_task=rows_per_task
     )
