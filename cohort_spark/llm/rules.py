@@ -105,7 +105,7 @@ def default_rules(text: str = "text") -> dict[str, Column]:
         "short_words": F.col("_rule_word_chars") < n * 2,
         "long_words": F.col("_rule_word_chars") > n * 20,
         "exclamations": _matches(t, "!") * 10 > n * 3,
-        "capitals": _matches(t, r"\p{Lu}{3,}") * 2 > n,
+        "capitals": _matches(t, r"\p{Lu}{2,}") * 2 > n,
         "few_letters": _matches(t, r"\p{L}") * 2 < F.col("_rule_word_chars"),
         "one_letter_words": _matches(t, r"(?<![^\x20\x09-\x0D])\p{L}(?![^\x20\x09-\x0D])") * 2 > n,
     }
