@@ -58,7 +58,7 @@ def test_top_k_is_exact_with_ties(spark):
 
 
 def test_gumbel_draw_follows_weights(spark):
-    rows = [(i, 0.0 if i % 2 else I.TEMPERATURE * np.log(3)) for i in range(8000)]
+    rows = [(i, 0.0 if i % 2 else float(I.TEMPERATURE * np.log(3))) for i in range(8000)]
     frame = spark.createDataFrame(rows, "doc_id bigint, _imp_score double").withColumn("_imp_key", I.key_of())
     kept = [r.doc_id for r in frame.where(I.among_top(frame, 400)).collect()]
     assert len(kept) == 400
