@@ -13,7 +13,7 @@ import numpy as np
 
 # A list is long when it has this many times the entries of the shortest lists together.
 LONG = 8
-PERCENT = 85
+PERCENT = 80
 
 
 def required(n: np.ndarray | int, percent: int = PERCENT):

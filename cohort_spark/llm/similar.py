@@ -35,7 +35,7 @@ from cohort_spark.llm import shared_keys as S
 from cohort_spark.llm.components import components, local_roots
 from cohort_spark.llm.overlap import PERCENT, Lists, required
 
-WORDS = 4
+WORDS = 5
 # Sets of one search; larger families are dealt to blocks of this size.
 BLOCK = 1000
 # Members of small families that share a task.

@@ -76,7 +76,7 @@ def planted(rng, n):
 def test_against_brute_force(spark, seed, options):
     rows = planted(random.Random(seed), 25)
     docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id bigint, text string, chunk string, n int")
-    got = similar.join_similar(docs, **options).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    got = similar.join_similar(docs, words=4, percent=85, **options).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
@@ -92,7 +92,7 @@ def test_lists_with_long_ones_apart():
             i for i, s in enumerate(sets)
             if 100 * len(o := np.intersect1d(s, sets[q])) >= 85 * (len(s) + len(sets[q]) - len(o))
         ]
-        assert lists.partners(sets[q]).tolist() == want
+        assert lists.partners(sets[q], percent=85).tolist() == want
     apart = Lists(np.array([2, 4, 6], np.uint64), np.array([3]))
     assert not len(apart.partners(np.array([1, 2, 3, 4, 5], np.uint64)))
 
