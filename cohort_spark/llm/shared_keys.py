@@ -67,7 +67,8 @@ class Keys:
         self.code, self.at, self.inverse = np.unique(code, return_index=True, return_inverse=True)
         self.bucket = (self.code >> np.uint64(32)).astype(np.int64)
         self.rest = self.code.astype(np.uint32)
-        pairs = np.unique(np.stack([self.inverse, doc]), axis=1)[0] if len(code) else np.zeros(0, np.int64)
+        width = int(doc.max()) + 1 if len(doc) else 1
+        pairs = np.unique(self.inverse * width + doc) // width
         self.documents = np.bincount(pairs, minlength=len(self.code))
         self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
