@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm import bytes as B
 from cohort_spark.llm import shared_keys as S
-from cohort_spark.llm.run_index import LARGEST, RunIndex
+from cohort_spark.llm.run_index import GOOD, RunIndex
 
 LENGTH = 50
 GRAM = 16
@@ -227,7 +227,7 @@ def _by_name(
             out[only] = np.full(size[only] - LENGTH + 1, owner[only])
             continue
         need = int(size[members].sum()) + len(members)
-        if group and symbols + need > LARGEST:
+        if group and symbols + need > GOOD:
             blocks.append(np.concatenate(group))
             group, symbols = [], 0
         group.append(members)
