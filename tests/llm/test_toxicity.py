@@ -42,7 +42,7 @@ def test_later_models_use_earlier_probabilities():
     # The second category is the first one, with words that say nothing: only the chain can tell.
     rng = np.random.default_rng(2)
     y = rng.random(600) < 0.5
-    words = [np.unique(np.append(rng.integers(10, 400, 20), 1 if y[i] else 2)).astype(np.uint64) for i in range(600)]
+    words = [np.unique(np.append(rng.integers(10, 400, 20), rng.integers(1, 5) if y[i] else rng.integers(5, 9))).astype(np.uint64) for i in range(600)]
     first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     chain, held = X.fit_chain(np.concatenate(words), first, {"a": y.astype(int), "b": y.astype(int)}, np.arange(600) % 3)
     assert chain.models[1].earlier[0] > 0
