@@ -72,6 +72,8 @@ def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE_BYTES) -> Iterato
         last = max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    # Workers live on between tasks: what Arrow keeps for later would add up over the stages of a job.
+    pa.default_memory_pool().release_unused()
 
 
 def words(

@@ -20,7 +20,7 @@ from cohort_spark.llm import bytes as B
 
 TABLED = 0x3000
 # Distinct parts that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = range(5)
 # The endings that the byte-level pattern splits off after an apostrophe.
 _SHORT_ENDINGS = "stmd"
