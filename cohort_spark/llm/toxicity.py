@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from cohort_spark.llm import bytes as B
 
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 6_000
 VOCABULARY = 50_000
 LEAST_DOCUMENTS = 3
 # Words of more than this share of the labelled rows say nothing about one of them.
