@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.core import ContractError, durable, finite, require_columns
 from cohort_spark.operators.metrics import auc_of_counts, macro, score_counts
+from cohort_spark.skew import running_totals
 
 # Rule weights tried by the label blends (fixed values).
 RULE_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -34,10 +35,43 @@ def _fan_out(candidates: Sequence[Column]) -> Column:
     return F.posexplode(F.array(*candidates)).alias("candidate", "score")
 
 
-def _held_out_counts(counts: DataFrame, folds: Sequence[int]) -> DataFrame:
-    """Give the counts of each fold to every other held-out fold; works on combined rows."""
-    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("fold"))
-    return counts.withColumn("held_out", F.explode(others))
+def held_out_aucs(counts: DataFrame, folds: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """AUC per (held_out, keys, target) over the rows of all other folds, from counts per fold and score.
+
+    The area is a sum over pairs of folds: positives of one above negatives of the other. One
+    running sum of negatives per fold gives all pairs, and each held-out fold adds up those that it
+    has no part in, so nothing is copied per held-out fold.
+    """
+    number = {f: i for i, f in enumerate(folds)}
+    of_fold = lambda c, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0))
+    cells = [of_fold(c, f).alias(f"_{c[0]}{i}") for f, i in number.items() for c in ("positives", "negatives", "known")]
+    group = [*keys, "target"]
+    merged = durable(counts.groupBy(*group, "score").agg(*cells))
+    below = running_totals(
+        merged, group, [F.col("score").asc_nulls_first()], {f"_b{i}": F.col(f"_n{i}") for i in number.values()}
+    )
+    area = lambda i, j: F.col(f"_p{i}") * (F.col(f"_b{j}") + F.col(f"_n{j}") / 2.0)
+    sums = below.groupBy(*group).agg(
+        *[F.sum(area(i, j)).alias(f"_a{i}_{j}") for i in number.values() for j in number.values()],
+        *[F.sum(f"_{c}{i}").alias(f"_{c}{i}") for i in number.values() for c in "pnk"],
+    )
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    rows = []
+    for f, i in number.items():
+        rest = [j for j in number.values() if j != i]
+        positives, negatives = total(f"_p{j}" for j in rest), total(f"_n{j}" for j in rest)
+        pairs = positives.cast("double") * negatives.cast("double")
+        whole = total(f"_a{j}_{k}" for j in rest for k in rest)
+        rows.append(
+            F.struct(
+                F.lit(f).alias("held_out"),
+                total(f"_k{j}" for j in rest).alias("known"),
+                positives.alias("positives"),
+                negatives.alias("negatives"),
+                F.when(pairs > 0, whole / pairs).alias("auc"),
+            )
+        )
+    return sums.select(*group, F.inline(F.array(*rows))).where("known > 0")
 
 
 def _folds(long: DataFrame) -> list[int]:
@@ -51,13 +85,6 @@ def _first_best(scored: DataFrame, keys: Sequence[str], score: str) -> DataFrame
     return scored.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
 
 
-def _merge_scores(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up the counts of equal scores that came from different folds."""
-    return counts.groupBy(*keys, "target", "score").agg(
-        *[F.sum(c).alias(c) for c in ("positives", "negatives", "known")]
-    )
-
-
 def blend_candidates(long: DataFrame, weights: Sequence[float] = RULE_WEIGHTS, semantic_first: bool = True) -> DataFrame:
     """Long rows with ``rule`` and ``semantic`` fanned out to one row per rule weight."""
     require_columns(long, ["target", "rule", "semantic"])
@@ -83,8 +110,7 @@ def nested_blend_weights(
     known = long.where(finite(F.col("gold")).isNotNull())
     counts = score_counts(blend_candidates(known, weights), ["fold", "candidate"])
     folds = _folds(long)
-    dev = _merge_scores(_held_out_counts(counts, folds), ["held_out", "candidate"])
-    scored = macro(auc_of_counts(dev, ["held_out", "candidate"]), ["held_out", "candidate"])
+    scored = macro(held_out_aucs(counts, folds, ["candidate"]), ["held_out", "candidate"])
     best = _first_best(scored, ["held_out"], "macro_auc").select(
         F.col("held_out").alias("_held"),
         _weight_of(F.col("candidate"), weights).alias("_weight"),
@@ -162,9 +188,8 @@ def _fusion_aucs(long: DataFrame, sources: Sequence[str], step: float) -> tuple[
         "fold", "target", "gold", _fan_out([mixed(w) for w in candidates])
     )
     counts = score_counts(fanned, ["fold", "candidate"], check=False)
-    dev = _merge_scores(_held_out_counts(counts, _folds(long)), ["held_out", "candidate"])
     vectors = F.array(*[F.array(*[F.lit(v) for v in w]) for w in candidates])
-    return auc_of_counts(dev, ["held_out", "candidate"]), F.get(vectors, F.col("candidate"))
+    return held_out_aucs(counts, _folds(long), ["candidate"]), F.get(vectors, F.col("candidate"))
 
 
 def simplex_scores(long: DataFrame, sources: Sequence[str], *, step: float = 0.05) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.core import ContractError, check_unique, enforce, finite, require_columns
+from cohort_spark.core import ContractError, check_unique, durable, enforce, finite, require_columns
 from cohort_spark.functions import arrays as A
 from cohort_spark.functions.probability import sigmoid_margin
 from cohort_spark.operators.contracts import same_ids
@@ -228,7 +228,7 @@ def ridge_probe(
     cohort: DataFrame,
     targets: Sequence[str],
     *,
-    alphas: Sequence[float] = (1.0, 10.0, 100.0),
+    alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0),
     identifier: str = "StudyInstanceUID",
 ) -> tuple[DataFrame, DataFrame]:
     """Nested ridge probe: out-of-fold predictions in long form, and the alpha of every outer fold.
@@ -251,6 +251,8 @@ def ridge_probe(
         ),
         identifier,
     )
+    # Read for the width, the moments, the inner scores and the predictions.
+    rows = durable(rows)
     width = rows.select(F.size("feature")).first()[0]
     moments = _moments(rows, width, len(outputs))
     alphas = [float(a) for a in alphas]

@@ -385,7 +385,8 @@ def select_per_category(
 ) -> DataFrame:
     """The best series of each preferred plane, then the best of the rest, up to ``max_series``.
 
-    Both ranks are top-k filters, which Spark applies before the shuffle as well as after it.
+    Both ranks are top-k filters, which Spark applies before the shuffle as well as after it. All
+    chunks of a series rank alike and are kept together.
     """
     if max_series < 1:
         raise ValueError("max_series must be positive")
@@ -398,7 +399,7 @@ def select_per_category(
     # A study's selection draws only on its top series overall and the top series of each plane.
     staged = scored.withColumn("_turn", turn)
     in_plane = Window.partitionBy(study, "_turn").orderBy(*best_first)
-    shortlist = staged.withColumn("_rank", F.row_number().over(in_plane)).where(
+    shortlist = staged.withColumn("_rank", F.dense_rank().over(in_plane)).where(
         F.col("_rank") <= max_series
     )
     champion = F.col("_turn").isNotNull() & (F.col("_rank") == 1)
@@ -406,7 +407,7 @@ def select_per_category(
         F.when(champion, F.col("_turn")).otherwise(len(preferred)), *best_first
     )
     return (
-        shortlist.withColumn("slot", F.row_number().over(slot))
+        shortlist.withColumn("slot", F.dense_rank().over(slot))
         .where(F.col("slot") <= max_series)
         .drop("_turn", "_rank")
     )
@@ -420,13 +421,23 @@ def sampling_plan(
     offsets: Sequence[int] = (-1, 0, 1),
     random_seed: int | None = None,
     keep_first_valid: bool = True,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """One row per (study, slot): the paths to stack, the plane id and whether the slot is filled.
 
-    ``selected`` has one row per chosen series; slots follow the series' identifiers and every
-    study is padded to ``max_series * slices_per_series`` slots.
+    ``selected`` has the chosen series, all chunks of each; slots follow the series' identifiers and
+    every study is padded to ``max_series * slices_per_series`` slots. Positions come from the size
+    of the whole series, and each chunk gives the paths that it holds.
     """
-    length = F.size("ordered_dicom_paths").cast("bigint")
+    chunked = "chunk" in selected.columns
+    length = F.col("slice_count").cast("bigint") if chunked else F.size("ordered_dicom_paths").cast("bigint")
+    start = F.col("chunk") * rows_per_chunk if chunked else F.lit(0)
+
+    def path_at(i: Column) -> Column:
+        # Outside of the chunk there is no element, and the place stays null.
+        here = F.when(i >= start, (i - start).cast("int"))
+        return F.get(F.col("ordered_dicom_paths"), here)
+
     centers = (
         S.uniform_indices(length, slices_per_series)
         if random_seed is None
@@ -445,21 +456,31 @@ def sampling_plan(
         lambda c: F.struct(
             F.transform(
                 S.neighborhood(c, length, offsets),
-                lambda i: F.get(F.col("ordered_dicom_paths"), i.cast("int")),
+                path_at,
             ).alias("paths"),
             plane_id.alias("plane"),
         ),
     )
     expected = max_series * slices_per_series
-    # At most max_series rows per study reach this list.
+    places = [F.max(F.get(F.col("_stack.paths"), F.lit(k))).alias(f"_path_{k}") for k in range(len(offsets))]
+    # A stack's paths may come from several chunks.
+    merged = (
+        selected.select(*KEYS, F.posexplode_outer(F.when(length > 0, stacks)).alias("_nth", "_stack"))
+        .groupBy(*KEYS, "_nth")
+        .agg(F.max("_stack.plane").alias("plane"), *places)
+    )
+    stack = F.struct(F.array(*[f"_path_{k}" for k in range(len(offsets))]).alias("paths"), "plane")
+    # At most max_series * slices_per_series rows per study reach this list.
     per_study = (
-        selected.withColumn("_stacks", F.when(length > 0, stacks).otherwise(F.array()))
-        .groupBy("StudyInstanceUID")
-        .agg(F.array_sort(F.collect_list(F.struct("SeriesInstanceUID", "_stacks"))).alias("_series"))
-        .select(
-            "StudyInstanceUID",
-            F.flatten(F.transform("_series", lambda s: s["_stacks"])).alias("_filled"),
+        merged.groupBy("StudyInstanceUID")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.when(F.col("_nth").isNotNull(), F.struct("SeriesInstanceUID", "_nth", stack.alias("_stack")))
+                )
+            ).alias("_series")
         )
+        .select("StudyInstanceUID", F.transform("_series", lambda s: s["_stack"]).alias("_filled"))
     )
     filled = F.get(F.col("_filled"), F.col("slot"))
     valid = F.col("slot") < F.size("_filled")
@@ -491,7 +512,8 @@ def cache_estimate(
     """Bytes a pixel cache of the manifest's studies would take, per representation."""
     if min(slices_per_series, height, width) <= 0 or not 0 < compression_ratio <= 1:
         raise ValueError("cache dimensions must be positive and the ratio in (0, 1]")
-    sizes = manifest.agg(
+    series = manifest.where("chunk = 0") if "chunk" in manifest.columns else manifest
+    sizes = series.agg(
         F.count_distinct("StudyInstanceUID").alias("studies"),
         F.count("*").alias("_series"),
     ).withColumn("series_per_study", F.col("_series") / F.col("studies"))

@@ -12,11 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.core import durable, finite, require_columns
+from cohort_spark.core import durable, finite, guarded, require_columns
 from cohort_spark.functions.probability import checked_probability, cross_entropy
 from cohort_spark.skew import exact_quantiles, running_totals
 
 
+def binary(gold: Column) -> Column:
+    """Gold that is 0, 1 or unknown; another value fails the job."""
+    return guarded(gold, gold.isNull() | gold.isin(0, 1), "gold must be 0 or 1")
+
+
 def score_counts(
     long: DataFrame,
     keys: Sequence[str] = (),
@@ -30,7 +35,7 @@ def score_counts(
     fall into one row per target. Combined before the shuffle.
     """
     require_columns(long, [*keys, "target", "gold", "score"])
-    gold = finite(F.col("gold"))
+    gold = binary(finite(F.col("gold")))
     score = checked_probability(F.col("score")) if check else finite(F.col("score"))
     w = F.lit(1) if weight is None else weight
     # -0.0 and 0.0 are one score.
@@ -98,7 +103,7 @@ def subgroup_auc(long: DataFrame, subgroup: str) -> DataFrame:
 
 def brier(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean squared error of known cells per (keys, target)."""
-    gold = finite(F.col("gold"))
+    gold = binary(finite(F.col("gold")))
     error = F.pow(gold - F.col("score"), 2)
     return long.groupBy(*keys, "target").agg(
         F.count(gold).alias("known"), F.avg(error).alias("brier")
@@ -177,7 +182,9 @@ def percentile_ranks(
     Ranks are found on distinct scores and joined back, so a group is never ordered row by row.
     """
     keys = list(keys)
-    score = F.col("score") + F.lit(0.0)
+    # -0.0 and 0.0 are one score; a score that cannot be ranked fails the job.
+    rankable = F.coalesce(finite(F.col("score")).isNotNull(), F.lit(False))
+    score = guarded(F.col("score"), rankable, "ranks need finite scores") + F.lit(0.0)
     counted = durable(scores.groupBy(*keys, score.alias("score")).agg(F.count("*").alias("_c")))
     below = running_totals(
         counted, keys, [F.col("score")], {"_below": F.col("_c")}, rows_per_task=rows_per_task

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.core import ContractError, durable, to_long
+from cohort_spark.core import durable, to_long
 from cohort_spark.functions.lexicon import KNEE, Lexicon
 from cohort_spark.functions.probability import blend
 from cohort_spark.operators import audit as A
@@ -52,9 +52,7 @@ def inference_stage(slices: DataFrame, failures: DataFrame | None = None) -> dic
 
 def selection_stage(manifest: DataFrame, **sampling: object) -> dict[str, DataFrame]:
     """Series chosen per study and the slices to sample from them."""
-    chosen = M.select_per_category(M.score_children(manifest.where("chunk = 0")))
-    if manifest.where("chunk > 0").limit(1).count():
-        raise ContractError("a series is too long for list sampling; raise rows_per_chunk for it")
+    chosen = M.select_per_category(M.score_children(manifest))
     return {"selected": chosen, "plan": M.sampling_plan(chosen, **sampling)}
 
 

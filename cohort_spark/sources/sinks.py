@@ -50,9 +50,16 @@ def write_delivery(delivered: DataFrame, path: str, *, position: str = "position
     """The delivery in its declared order as CSV files whose names follow that order.
 
     The table is range-sorted; each file is one range, so concatenating the files in name order
-    gives the whole delivery and no task holds all of it.
+    gives the whole delivery and no task holds all of it. The header is the first row in that order,
+    so it is written exactly once.
     """
-    delivered.orderBy(position).drop(position).write.mode("overwrite").option("header", "false").csv(path)
+    columns = [c for c in delivered.columns if c != position]
+    texts = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
+    spark = delivered.sparkSession
+    header = spark.range(1).select(F.lit(0).alias("_part"), F.lit(None).cast("bigint").alias("_at"), *[F.lit(c).alias(c) for c in columns])
+    rows = delivered.select(F.lit(1).alias("_part"), F.col(position).cast("bigint").alias("_at"), *texts)
+    ordered = header.unionByName(rows).orderBy("_part", "_at").drop("_part", "_at")
+    ordered.write.mode("overwrite").option("header", "false").csv(path)
 
 
 def promote(winner: DataFrame, candidates: DataFrame, path: str, *, name: str = "experiment") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,12 +12,18 @@ from pyspark.sql.types import StructType
 from cohort_spark.core import ContractError
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A table by its suffix: csv, parquet, pq, json or jsonl; anything else is an error."""
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, *, line_breaks: bool = False
+) -> DataFrame:
+    """A table by its suffix: csv, parquet, pq, json or jsonl; anything else is an error.
+
+    ``line_breaks`` reads CSV fields that hold line breaks; a file is then one task, so convert large
+    ones to Parquet once.
+    """
     suffix = PurePosixPath(path).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, escape='"')
+        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=line_breaks, escape='"')
     if suffix in {".parquet", ".pq"}:
         return reader.parquet(path)
     if suffix == ".jsonl":
@@ -44,7 +51,9 @@ def read_parts(spark: SparkSession, root: str) -> DataFrame:
             .option("mergeSchema", "true")
             .parquet(root)
         )
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() not in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
+            raise
         raise ContractError(f"no parquet parts under {root}") from error
 
 

@@ -161,7 +161,6 @@ def training_cohort(spark, sf_dir):
         load(spark, sf_dir, "semantic_labels").drop("language"),
         load(spark, sf_dir, "inventory"),
         TARGETS,
-        restarts=16,
     )
 
 
@@ -223,12 +222,12 @@ def assemble_oof(spark, sf_dir):
     with_views(
         "models gold",
         "WITH " + FUSION_SQL.strip()
-        + """ SELECT CAST(i / 4.0 AS DOUBLE) AS a, CAST(j / 4.0 AS DOUBLE) AS b, CAST(k / 4.0 AS DOUBLE) AS c, CAST(held_out AS INT) AS held_out, round(avg(auc), 6) AS macro_auc
+        + """ SELECT CAST(i / 20.0 AS DOUBLE) AS a, CAST(j / 20.0 AS DOUBLE) AS b, CAST(k / 20.0 AS DOUBLE) AS c, CAST(held_out AS INT) AS held_out, round(avg(auc), 6) AS macro_auc
         FROM aucs GROUP BY i, j, k, held_out""",
     )
 )
 def simplex_scores(spark, sf_dir):
-    scored = B.simplex_scores(fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.25)
+    scored = B.simplex_scores(fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.05)
     return rounded(
         scored.select(
             *[F.get("weights", F.lit(i)).alias(n) for i, n in enumerate("abc")], "held_out", "macro_auc"

@@ -161,7 +161,7 @@ def percentile_ranks(spark, sf_dir):
 
 @query()
 def bootstrap_auc(spark, sf_dir):
-    return M.bootstrap_auc(predictions(spark, sf_dir), iterations=200)
+    return M.bootstrap_auc(predictions(spark, sf_dir))
 
 
 MODELS = ("a", "b", "c")
@@ -289,9 +289,9 @@ FUSION_SQL = """
 wide AS (SELECT g.StudyInstanceUID, g.fold, g.target, g.gold, max(CASE WHEN model = 'a' THEN score END) AS a,
    max(CASE WHEN model = 'b' THEN score END) AS b, max(CASE WHEN model = 'c' THEN score END) AS c
    FROM gold g JOIN models m ON g.StudyInstanceUID = m.StudyInstanceUID AND g.target = m.target GROUP BY 1, 2, 3, 4),
-sw AS (SELECT i, j, 4 - i - j AS k, row_number() OVER (ORDER BY i, j) - 1 AS candidate FROM range(5) x(i), range(5) y(j) WHERE i + j <= 4),
+sw AS (SELECT i, j, 20 - i - j AS k, row_number() OVER (ORDER BY i, j) - 1 AS candidate FROM range(21) x(i), range(21) y(j) WHERE i + j <= 20),
 cand AS (SELECT h.held AS held_out, candidate, i, j, k, target, gold,
-   (CAST(0 AS DOUBLE) + i / CAST(4 AS DOUBLE) * a) + j / CAST(4 AS DOUBLE) * b + k / CAST(4 AS DOUBLE) * c AS score
+   (CAST(0 AS DOUBLE) + i / CAST(20 AS DOUBLE) * a) + j / CAST(20 AS DOUBLE) * b + k / CAST(20 AS DOUBLE) * c AS score
    FROM wide, sw, range(5) h(held) WHERE fold <> h.held AND gold IS NOT NULL),
 """ + auc_sql("cand", "held_out, candidate, i, j, k")
 
@@ -311,11 +311,11 @@ def fusion_rows(spark, sf_dir):
         mac AS (SELECT held_out, candidate, i, j, k, avg(auc) AS m FROM aucs GROUP BY ALL),
         win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY held_out ORDER BY m DESC NULLS LAST, candidate) AS rk FROM mac) WHERE rk = 1)
         SELECT StudyInstanceUID, fold, target, gold,
-          round(i / 4.0 * a + j / 4.0 * b + k / 4.0 * c, 6) AS score FROM wide JOIN win ON fold = held_out""",
+          round(i / 20.0 * a + j / 20.0 * b + k / 20.0 * c, 6) AS score FROM wide JOIN win ON fold = held_out""",
     )
 )
 def nested_fusion(spark, sf_dir):
-    fused = B.nested_fusion(fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.25)
+    fused = B.nested_fusion(fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.05)
     return rounded(fused, "score")
 
 
@@ -325,13 +325,13 @@ def nested_fusion(spark, sf_dir):
         "WITH " + FUSION_SQL.strip() + """,
         win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY held_out, target ORDER BY auc DESC NULLS LAST, candidate) AS rk FROM aucs) WHERE rk = 1)
         SELECT StudyInstanceUID, fold, wide.target, gold,
-          round(i / 4.0 * a + j / 4.0 * b + k / 4.0 * c, 6) AS score
+          round(i / 20.0 * a + j / 20.0 * b + k / 20.0 * c, 6) AS score
         FROM wide JOIN win ON fold = held_out AND wide.target = win.target""",
     )
 )
 def nested_fusion_per_target(spark, sf_dir):
     fused = B.nested_fusion(
-        fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.25, per_target=True
+        fusion_rows(spark, sf_dir), ["a", "b", "c"], step=0.05, per_target=True
     )
     return rounded(fused, "score")
 

@@ -43,7 +43,7 @@ def test_many_groups_are_sharded(spark):
         (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)) < 2).cast("int").alias("rare"),
     )
     options = {"group": "g", "targets": ["common", "rare"], "n_splits": 5}
-    folded = D.assign_folds(table, **options, groups_per_task=300)
+    folded = D.assign_folds(table, **options, shards=7, rare_rows=200)
     K.assert_group_disjoint(folded, "g")
     assert folded.count() == 3000
     got = D.fold_objective(folded, ["common", "rare"], n_splits=5).first().objective

@@ -251,3 +251,18 @@ def test_gates(spark):
 def test_long_form_requires_columns(spark):
     with pytest.raises(ContractError):
         to_long(spark.range(1), ["t"], {"gold": "{target}__gold"})
+
+
+@pytest.mark.parametrize("score", [None, float("nan"), float("inf")])
+def test_ranks_refuse_scores_without_order(spark, score):
+    rows = spark.createDataFrame([("t", 0.5), ("t", score)], "target string, score double")
+    with pytest.raises(Exception, match="ranks need finite scores"):
+        M.percentile_ranks(rows).collect()
+
+
+@pytest.mark.parametrize("gold", [0.5, 2.0, -1.0])
+def test_gold_outside_the_binary_domain_fails(spark, gold):
+    rows = spark.createDataFrame([("t", 1.0, 0.5), ("t", gold, 0.2)], "target string, gold double, score double")
+    for measure in (M.auc, M.brier):
+        with pytest.raises(Exception, match="gold must be 0 or 1"):
+            measure(rows).collect()

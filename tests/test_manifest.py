@@ -201,3 +201,30 @@ def test_fit_length(spark):
     assert row.crop == [2.0, 3.0, 4.0]
     assert row.pad == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 0.0, 0.0]
     assert row.grid == [[1.0, 2.0, 3.0, 4.0, 5.0, 0.0]] * 2
+
+
+def test_chunked_series_serve_every_consumer_alike(spark):
+    key = F.col("id")
+    table = spark.range(90).select(
+        F.concat(F.lit("study"), (key % 3).cast("string")).alias("StudyInstanceUID"),
+        F.concat(F.lit("series"), (key % 3).cast("string"), (key % 9 > 5).cast("string"), (key % 2).cast("string")).alias("SeriesInstanceUID"),
+        F.concat(F.lit("sop"), key.cast("string")).alias("SOPInstanceUID"),
+        F.concat(F.md5(key.cast("string")), F.lit(".dcm")).alias("dicom_path"),
+        F.when(key % 3 < 2, (key * 7919 % 1009).cast("double")).alias("SpatialSliceCoordinate"),
+        key.alias("InstanceNumber"),
+    )
+    planes = F.when(F.col("SeriesInstanceUID").endswith("1"), "Axial").otherwise("Sagittal")
+
+    def consumers(**limits):
+        manifest = M.series_manifest(table, **limits).withColumn("Anatomical_Plane", planes)
+        scored = manifest.withColumn("score", F.col("slice_count").cast("double"))
+        chosen = M.select_per_category(scored, max_series=2)
+        chunk = {k: v for k, v in limits.items() if k == "rows_per_chunk"}
+        slots = chosen.select("StudyInstanceUID", "SeriesInstanceUID", "slot").distinct()
+        plan = M.sampling_plan(chosen, max_series=2, **chunk)
+        sizes = M.cache_estimate(manifest, slices_per_series=4, height=8, width=8)
+        return [sorted(map(str, df.collect())) for df in (slots, plan, sizes, M.extended_inventory(manifest))]
+
+    plain = consumers()
+    assert plain == consumers(rows_per_task=4, rows_per_chunk=4)
+    assert len(plain[0]) == 6 and len(plain[1]) == 24

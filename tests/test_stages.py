@@ -36,7 +36,9 @@ def test_evaluation_and_delivery(spark, tmp_path):
     done = stages.delivery_stage({"a": wide, "b": wide}, sample, TARGETS, calibration=out["parameters"])
     sinks.write_delivery(done, str(tmp_path / "delivery"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "delivery")).collect()]
-    assert len(lines) == 200
+    assert len(lines) == 201
+    header = "StudyInstanceUID," + ",".join(TARGETS)
+    assert [i for i, line in enumerate(lines) if line == header] == [0]
     first = sample.orderBy("position").first().StudyInstanceUID
     assert any(line.startswith(first + ",") for line in lines)
 
