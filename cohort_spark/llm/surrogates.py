@@ -218,10 +218,11 @@ def all_entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = sorted({(k, n) for t in batch.column(text).to_pylist() for _, _, k, n in entities(t)})
-            yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array([k for k, _ in here], pa.string()), "normal": pa.array([n for _, n in here], pa.string())}
-            )
+            for piece in B.pieces(batch, text):
+                here = sorted({(k, n) for t in piece.column(text).to_pylist() for _, _, k, n in entities(t)})
+                yield pa.RecordBatch.from_pydict(
+                    {"kind": pa.array([k for k, _ in here], pa.string()), "normal": pa.array([n for _, n in here], pa.string())}
+                )
 
     return durable(docs.select(text).mapInArrow(collect, "kind string, normal string").distinct())
 
