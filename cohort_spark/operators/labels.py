@@ -258,9 +258,12 @@ def label_targets(matched: DataFrame, targets: Sequence[str], keep: Sequence[str
     Precedence: positive, uncertain, negative, mentioned. Evidence keeps each sentence once, in
     order of appearance.
     """
-    fanned = matched.select(
-        *keep, "matches", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target")
-    ).withColumn("_mine", F.filter("matches", lambda m: m["target"] == F.col("target")))
+    # Each target's row carries its own matches only, settled as generator output.
+    def own(target: str) -> Column:
+        mine = F.filter("matches", lambda m: m["target"] == target)
+        return F.struct(F.lit(target).alias("target"), mine.alias("_mine"))
+
+    fanned = matched.select(*keep, F.inline(F.array(*[own(t) for t in targets])))
 
     def seen(name: str) -> Column:
         return F.exists("_mine", lambda m: m["status"] == name)
