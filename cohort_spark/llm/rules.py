@@ -101,7 +101,7 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     t = F.col(f"`{text}`")
     return {
         "symbols": F.col("_rule_n_symbols") * 10 > n * 3,
-        "duplicate_lines": F.col("_rule_n_dup_lines") * 10 > F.col("_rule_n_lines") * 3,
+        "duplicate_lines": F.col("_rule_n_dup_lines") * 2 > F.col("_rule_n_lines"),
         "short_words": F.col("_rule_word_chars") < n * 2,
         "long_words": F.col("_rule_word_chars") > n * 20,
         "exclamations": _matches(t, "!") * 10 > n * 3,
