@@ -20,7 +20,7 @@ from cohort_spark.llm import bytes as B
 
 TABLED = 0x3000
 # Distinct parts that a worker remembers; then it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = range(5)
 # The endings that the byte-level pattern splits off after an apostrophe.
 _SHORT_ENDINGS = "stmd"
@@ -154,12 +154,13 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             parts = [joined[starts[e] : ends[e]] for e in example[new].tolist()]
-            ids = self.whole(parts)
             place[new] = len(self.first) - 1 + np.arange(len(new))
             known.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
-            sizes = np.array([len(x) for x in ids], np.int64)
+            # A list of parts is one encoding of the library, which says whose each number is.
+            coded = self.library.encode(parts, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(parts))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, *ids])
+            self.flat = np.concatenate([self.flat, np.array(coded.ids, self.dtype)])
         low = self.first[place][number]
         count = self.first[place + 1][number] - low
         before = np.zeros(len(count) + 1, np.int64)
