@@ -13,8 +13,9 @@ with one name each.
 4. The chunks get the answers, mark windows whose first document is smaller than their own, and drop
    every byte that a marked window covers.
 
-A name with more documents than ``HOT`` is not kept together: its windows are named by themselves,
-which deals them to all buckets.
+A name with more runs than ``HOT`` is not kept together, however few documents have them: its windows
+are named by themselves, which deals them to all buckets. So the strings of a name that is kept
+together always fit one index.
 
 Defined cases: a null or empty text has no bytes and hashes as empty; a null ``doc_id`` comes after
 all others; rows with one ``doc_id`` are not earlier than each other, equal or not; texts shorter
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm import bytes as B
 from cohort_spark.llm import shared_keys as S
-from cohort_spark.llm.run_index import GOOD, RunIndex
+from cohort_spark.llm.run_index import GOOD, LARGEST, RunIndex
 
 LENGTH = 50
 GRAM = 16
@@ -43,6 +44,8 @@ GRAM = 16
 MOST_WINDOWS = 60
 SEGMENT = 1 << 21
 HOT = 15_000
+# A string and its mark have at most LENGTH + MOST_WINDOWS symbols; so many strings always fit one index.
+MOST_RUNS = LARGEST // (LENGTH + MOST_WINDOWS)
 LAST = np.iinfo(np.int64).max
 
 _SENT = "bucket int, chunk int, shared binary, names binary, sizes binary, owners binary, strings binary"
@@ -280,11 +283,12 @@ def remove_repeats(
     ``kept`` holds the bytes that stay, or their SHA-256 when ``digest`` is set. The same dealing of
     the documents to chunks is used three times in one plan, so the texts are shuffled once.
     """
+    hot = min(hot, MOST_RUNS)
     plan = plan or S.layout(docs)
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("chunk", S.chunk_of(plan))
 
     def name(key: tuple, table: pa.Table) -> pa.Table:
-        return Chunk(table, plan.buckets).keys.sent(key[0].as_py())
+        return Chunk(table, plan.buckets).keys.sent(key[0].as_py(), times=True)
 
     def send(key: tuple, table: pa.Table, levels: pa.Table) -> pa.Table:
         number, chunk = key[0].as_py(), Chunk(table, plan.buckets)

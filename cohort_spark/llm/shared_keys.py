@@ -4,6 +4,9 @@ Documents are dealt to chunks of a few MB. A chunk sends its distinct keys, pack
 key buckets; a bucket adds up the chunks and sends back one number per key, in the order in which
 the chunk can list its keys again. So a key costs a few bytes on the way there and one on the way
 back, a common key costs at most one entry per chunk, and no key is ever gathered with its rows.
+
+A chunk may send how often each key occurs as well; then a key of several documents comes back with
+its occurrences, of which there are at least as many.
 """
 
 from __future__ import annotations
@@ -70,11 +73,12 @@ class Keys:
         width = int(doc.max()) + 1 if len(doc) else 1
         pairs = np.unique(self.inverse * width + doc) // width
         self.documents = np.bincount(pairs, minlength=len(self.code))
+        self.times = np.bincount(self.inverse, minlength=len(self.code))
         self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
-    def sent(self, chunk: int) -> pa.Table:
-        """Rows for the buckets."""
-        counts = np.minimum(self.documents, MOST).astype(np.uint16)
+    def sent(self, chunk: int, *, times: bool = False) -> pa.Table:
+        """Rows for the buckets; with ``times``, the occurrences follow the documents."""
+        sums = [np.minimum(n, MOST).astype(np.uint16) for n in (self.documents, *([self.times] if times else []))]
         used = np.flatnonzero(np.diff(self.cut)).tolist()
         part = lambda a, b: a[self.cut[b] : self.cut[b + 1]]
         return pa.table(
@@ -82,7 +86,7 @@ class Keys:
                 "bucket": pa.array(used, pa.int32()),
                 "chunk": pa.array([chunk] * len(used), pa.int32()),
                 "keys": pa.array([part(self.rest, b).tobytes() for b in used], pa.binary()),
-                "counts": pa.array([pack(part(counts, b)) for b in used], pa.binary()),
+                "counts": pa.array([pack(np.concatenate([part(n, b) for n in sums])) for b in used], pa.binary()),
             }
         )
 
@@ -96,14 +100,19 @@ class Keys:
 
 def _add_up(table: pa.Table) -> pa.Table:
     keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-    counts = np.concatenate([unpack(x, "<u2") for x in table["counts"].to_pylist()])
+    counts = [unpack(x, "<u2") for x in table["counts"].to_pylist()]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, counts, len(every)), MOST).astype(np.uint16)[inverse]
+    add = lambda parts: np.bincount(inverse, np.concatenate(parts), len(every))
+    total = add([c[: len(k)] for c, k in zip(counts, keys, strict=True)])
+    if any(len(c) > len(k) for c, k in zip(counts, keys, strict=True)):
+        times = add([c[len(k) :] for c, k in zip(counts, keys, strict=True)])
+        total = np.where(total < 2, total, np.maximum(total, times))
+    total = np.minimum(total, MOST).astype(np.uint16)[inverse]
     ends = np.cumsum([len(k) for k in keys])
     levels = [pack(x) for x in np.split(total, ends[:-1])]
     return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "levels": pa.array(levels, pa.binary())})
 
 
 def levels(sent: DataFrame) -> DataFrame:
-    """``bucket, chunk, levels``: documents per key (up to ``MOST``) for each chunk's keys."""
+    """``bucket, chunk, levels``: documents, or occurrences, per key (up to ``MOST``) for each chunk's keys."""
     return sent.groupBy("bucket").applyInArrow(_add_up, LEVELS)

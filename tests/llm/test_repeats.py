@@ -71,6 +71,24 @@ def test_segments_do_not_change_results(monkeypatch):
     assert all((names[a:b] == n).all() for a, b, n in zip(cut.start, cut.end, cut.name, strict=True))
 
 
+def test_two_long_documents_share_a_line_template(spark):
+    """One name has more different strings than an index can hold, in two documents only."""
+    rng = random.Random(11)
+    template = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(63))
+    log = lambda: "".join(f"{rng.getrandbits(112):028x}{template}{rng.getrandbits(112):028x}\n" for _ in range(20_000))
+    texts = [log(), log()]
+    first = {texts[0][i : i + 50] for i in range(len(texts[0]) - 49)}
+    gone = bytearray(len(texts[1]))
+    for i in range(len(gone) - 49):
+        if texts[1][i : i + 50] in first:
+            gone[i : i + 50] = b"\1" * 50
+    kept = "".join(c for c, g in zip(texts[1], gone, strict=True) if not g).encode()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, digest=True).collect()}
+    assert (got[0]["n_removed"], got[1]["n_removed"]) == (0, sum(gone)) and sum(gone) >= 20_000 * 63
+    assert bytes(got[1]["kept"]) == hashlib.sha256(kept).digest()
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
