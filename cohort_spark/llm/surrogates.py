@@ -1,7 +1,10 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
 Entities are e-mail addresses, telephone numbers, IP addresses, card and social security numbers, and
-names after a title or before a family name. An entity's normal form (lower case, digits only, one
+names after a title or after a known given name; once a name is found, its parts are replaced wherever
+the document writes them with a capital. Telephone numbers have a plus sign or 00, the 3-3-4 digits of
+North America (written together, too), a leading 0 and groups, or a word like "call" before them. An
+entity's normal form (lower case, digits only, country and national number, one
 name part) and a secret key give its surrogate, so every mention gets the same one (coreference) in
 the format in which it is written. A check over all entities of the corpus keeps surrogates apart
 from each other and from real entities: who collides draws again, until nobody does. Only entities
@@ -37,8 +40,9 @@ BROADCAST_REDRAWN = 100_000
 WIDEN = 12
 
 # Titles by gender, and what names are made of by script.
-_MALE = ("Mr", "Sir", "Herr", "Señor", "Monsieur", "господин", "κύριος")
-_FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Madame", "госпожа", "κυρία")
+_MALE = ("Mr", "Sir", "Lord", "Herr", "Señor", "Sr", "Monsieur", "Signor", "господин", "κύριος")
+_FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "Mlle", "Signora", "госпожа", "κυρία")
+_EITHER = ("Dr", "Doctor", "Dra", "Prof", "Professor", "Rev", "Reverend", "доктор", "профессор")
 _GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "Hans", "Pierre", "Carlos", "Juan", "Иван", "Пётр", "Γιώργος"),
     "f": ("Mary", "Anna", "Maria", "Emma", "Julia", "Marie", "Sofia", "Carmen", "Ольга", "Мария", "Ελένη"),
@@ -48,20 +52,37 @@ _SOUNDS = {
     "cyrillic": (("б", "в", "г", "д", "к", "л", "м", "н", "п", "р", "с", "т"), ("а", "е", "и", "о", "у"), {"m": "ан", "f": "ия", "": "ов"}),
     "greek": (("β", "γ", "δ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ"), ("α", "ε", "ι", "ο"), {"m": "ος", "f": "ία", "": "ης"}),
 }
-_GENDER = {**dict.fromkeys(_MALE, "m"), **dict.fromkeys(_FEMALE, "f")}
-_KNOWN = {name: g for g, names in _GIVEN.items() for name in names}
+_GENDER = {t.lower(): g for g, titles in (("m", _MALE), ("f", _FEMALE), ("", _EITHER)) for t in titles}
+_KNOWN = {name.lower(): g for g, names in _GIVEN.items() for name in names}
 
 _DOMAIN = regex.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _NUMBERS = regex.compile(
-    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"(?=[\d+(])(?:(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+[ ]?[2-9]|00[2-9](?=\d{0,2}[ ./-]))(?:(?:[ ./-]|[ ]?\(|\)[ ./-]?)?\d){6,14}(?!\w)"
+    r"|(?<![\w+])(?:(?:\+\d{1,3}|1)[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{7}(?!\w)"
+    r"|(?<![\w+.,/=-])[2-9]\d{9}(?![\w/=-]|[.,]\d)"
+    r"|(?<![\w+.,/-])\(?0[1-9]\d{0,3}\)?(?P<gap>[ ./-])\d{2,8}(?:[ .-]\d{2,4}){0,4}(?![\w:]|[.,/-]\d))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])))"
 )
-_TITLED = regex.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?[ ](\p{{Lu}}\p{{Ll}}{{1,30}})(?:[ ](\p{{Lu}}\p{{Ll}}{{1,30}}))?")
-_NAMED = regex.compile(rf"\b({'|'.join(sorted(_KNOWN, key=len, reverse=True))})[ ](\p{{Lu}}\p{{Ll}}{{1,30}})\b")
-_NAME_HINTS = (*_GENDER, *_KNOWN)
+# A number of any grouping after a word that announces one.
+_CUED = regex.compile(
+    r"(?i:\b(?:tel|telephone|phone|call|fax|mobile|cell|telefon|tél|téléphone|teléfono|тел)(?:[ ](?:no|nr|number))?[.:]*[ ]{0,2})"
+    r"(?P<n>\+?\(?\d(?:[ ./()-]{0,2}\d){6,14})(?![\w:]|[.,/-]\d)"
+)
+_DATE = regex.compile(r"\d{1,2}([./ -])\d{1,2}\1\d{4}|\d{4}([./ -])\d{1,2}\2\d{1,2}")
+# Calling codes of one and two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_PART = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:['’]\p{L}[\p{L}\p{M}]+)?"
+_NAME = rf"{_PART}(?:-{_PART})*+(?![\p{{L}}\p{{M}}\d_])"
+_PARTICLES = r"(?:(?:\p{Lu}\.|(?i:de|del|della|di|da|dos|du|des|la|las|los|le|van|von|der|den|zu|ter|ten|bin|ibn|al|el|y|st\.?))[ ])*+"
+_TITLES = "|".join(sorted({w for t in _GENDER for w in (t, t.upper(), t.capitalize())}, key=lambda w: (-len(w), w)))
+_TITLED = regex.compile(rf"\b({_TITLES})\b\.?[ ](?:(?:{_TITLES})\b\.?[ ])*+{_PARTICLES}({_NAME})(?:[ ]{_PARTICLES}({_NAME}))?")
+_NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}])({_PART})(?=[ ]{_PARTICLES}({_NAME}))")
+_PIECE = regex.compile(_PART)
+_BARE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d_]){_PART}(?![\p{{L}}\p{{M}}\d_])")
 
 Found = tuple[int, int, str, str]
 
@@ -97,23 +118,70 @@ def _numbers(text: str) -> Iterator[Found]:
         if kind == "ip":
             if all(int(x) < 256 for x in said.split(".")):
                 yield m.start(), m.end(), kind, said
+        elif kind == "phone":
+            normal = phone(said)
+            if normal:
+                yield m.start(), m.end(), kind, normal
         else:
-            digits = "".join(c for c in said if c.isdigit())
-            country = said.split("(")[0].strip(" .-") if said.startswith("+") and "(" in said else ""
-            yield m.start(), m.end(), kind, f"{country}|{digits[max(0, len(country) - 1):]}" if kind == "phone" else digits
-
-
-def _names(text: str) -> Iterator[Found]:
+            yield m.start(), m.end(), kind, "".join(c for c in said if c.isdigit())
+
+
+def phone(said: str) -> str | None:
+    """Country code and national number of a telephone number; no code when none is known."""
+    digits = "".join(c for c in said if c.isdigit())
+    if said.startswith("+") or (said.startswith("00") and len(digits) > 10):
+        digits = digits[2:] if said.startswith("00") else digits
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+        national = digits[len(code) :]
+        if "(0)" in said and national.startswith("0"):
+            national = national[1:]
+        return f"{code}|{national}" if 7 <= len(digits) <= 15 and len(national) > 3 else None
+    if len(digits) == 10 and digits[0] != "0":
+        return f"1|{digits}"
+    if len(digits) == 11 and digits[0] == "1":
+        return f"1|{digits[1:]}"
+    if _DATE.match(said) or not 7 <= len(digits) <= 15 or (digits[0] == "0" and len(digits) < 9):
+        return None
+    return f"|{digits}"
+
+
+def _announced(text: str, taken: list[Found]) -> Iterator[Found]:
+    for m in _CUED.finditer(text):
+        start, end = m.span("n")
+        normal = phone(m["n"])
+        if normal and not any(a < end and start < b for a, b, _, _ in taken):
+            yield start, end, "phone", normal
+
+
+def _parts(kind: str, said: str, start: int, gender: str) -> Iterator[Found]:
+    """A name's parts, which hyphens join."""
+    for m in _PIECE.finditer(said):
+        plain = m[0].lower().replace("’", "'")
+        normal = f"{_KNOWN.get(plain, '') or gender}|{plain}" if kind == "given" else plain
+        yield start + m.start(), start + m.end(), kind, normal
+
+
+def _names(text: str) -> list[Found]:
+    found: list[Found] = []
     for m in _TITLED.finditer(text):
-        gender = _GENDER[m[1]]
+        gender = _GENDER[m[1].lower()]
         if m[3]:
-            yield m.start(2), m.end(2), "given", f"{gender}|{m[2].lower()}"
-            yield m.start(3), m.end(3), "family", m[3].lower()
-        else:
-            yield m.start(2), m.end(2), "family", m[2].lower()
+            found += _parts("given", m[2], m.start(2), gender)
+        found += _parts("family", m[3] or m[2], m.start(3) if m[3] else m.start(2), "")
     for m in _NAMED.finditer(text):
-        yield m.start(1), m.end(1), "given", f"{_KNOWN[m[1]]}|{m[1].lower()}"
-        yield m.start(2), m.end(2), "family", m[2].lower()
+        if m[1].lower() in _KNOWN:
+            found += _parts("given", m[1], m.start(1), "")
+            found += _parts("family", m[2], m.start(2), "")
+    if not found:
+        return found
+    # The same parts on their own: family names first, then given names.
+    whose = {n.split("|")[-1]: (k, n) for _, _, k, n in sorted(found, key=lambda f: (f[2] == "family", f[0]))}
+    taken = {(a, b) for a, b, _, _ in found}
+    for m in _BARE.finditer(text):
+        plain = m[0].lower().replace("’", "'")
+        if plain in whose and m.span() not in taken:
+            found.append((*m.span(), *whose[plain]))
+    return found
 
 
 def entities(text: str | None) -> list[Found]:
@@ -124,8 +192,8 @@ def entities(text: str | None) -> list[Found]:
     if "@" in text:
         found += _emails(text)
     found += _numbers(text)
-    if any(h in text for h in _NAME_HINTS):
-        found += _names(text)
+    found += _announced(text, found)
+    found += _names(text)
     out: list[Found] = []
     for f in sorted(set(found), key=lambda f: (f[0], -f[1], f[2])):
         if not out or f[0] >= out[-1][1]:
@@ -169,7 +237,8 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
         return ".".join(str(ranges[len(o)][0] + say.below(ranges[len(o)][1] - ranges[len(o)][0])) for o in octets)
     if kind == "phone":
         country, digits = normal.split("|")
-        return f"{country}|{2 + say.below(8)}{say.like(digits[1:])}"
+        first = "0" + str(1 + say.below(9)) if digits[0] == "0" else str(2 + say.below(8))
+        return f"{country}|{first}{say.like(digits[len(first):])}"
     if kind == "ssn":
         return say.like(normal)
     if kind == "card":
@@ -187,8 +256,10 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
 def written(kind: str, said: str, new: str) -> str:
     """The surrogate in the format of a mention."""
     if kind in ("phone", "card", "ssn"):
-        country, digits = new.split("|") if kind == "phone" else ("", new)
-        supply = iter(country.lstrip("+") + digits)
+        # A telephone number's code and what is dialled before the national number stay.
+        digits = new.split("|")[-1]
+        stay = [c for c in said if c.isdigit()]
+        supply = iter([*stay[: len(stay) - len(digits)], *digits])
         return "".join(next(supply) if c.isdigit() else c for c in said)
     if kind == "ip":
         return new

@@ -42,6 +42,41 @@ def test_format_script_gender_and_coreference():
     assert not S.luhn(S.surrogate(KEY, "card", "4111111111111112", 0))
 
 
+@pytest.mark.parametrize("text", [
+    "+44 20 7946 0958", "+49 30 1234567", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "0044 20 7946 0958", "4155551234", "+14155551234",
+    "020 7946 0958", "01 23 45 67 89", "1-415-555-1234",
+])
+def test_whole_phone_numbers(text):
+    assert [(k, a, b) for a, b, k, _ in S.entities(f"x {text}, y")] == [("phone", 2, 2 + len(text))]
+    new, found = S.rewrite(f"x {text}, y", KEY, {})
+    assert text not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"x {text}, y")
+    assert S.entities(new)[0][2:] == ("phone", S.surrogate(KEY, *found[0][2:], 0))
+
+
+def test_one_phone_number_has_one_form():
+    said = "+1 (415) 555-1234; +1 415-555-1234; 415-555-1234; 4155551234; 1-415-555-1234"
+    assert {f[3] for f in S.entities(said)} == {"1|4155551234"} and len(S.entities(said)) == 5
+    assert len({f[3] for f in S.entities("+44 20 7946 0958; 0044 20 7946 0958; +44 (0)20 7946 0958")}) == 1
+    assert S.entities("on 01.02.2024 or 2024-01-15, 01-02-2024 10:30; id 12345; 1700000000; call 2024-01-15; 3.2155551234") == []
+    assert [f[2] for f in S.entities("call 555-1234; ssn 078-05-1120")] == ["phone", "ssn"]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Mr McDonald left", ["McDonald"]), ("Dr O'Brien's", ["O'Brien"]), ("MR SMITH", ["SMITH"]), ("Ms Smith-Jones", ["Smith", "Jones"]),
+    ("Prof. Dr. Hans van der Berg", ["Hans", "Berg"]), ("Mrs de la Cruz", ["Cruz"]), ("Professor J. Smith", ["Smith"]),
+    ("Mr Smith said. Later Smith left with SMITH, not smith or Smithson; Mary Jones, then Mary", ["Smith", "Smith", "SMITH", "Mary", "Jones", "Mary"]),
+    ("Mrs\nplain Smith", []),
+])
+def test_whole_names(text, want):
+    assert [text[a:b] for a, b, _, _ in S.entities(text)] == want
+
+
+def test_later_mentions_keep_coreference():
+    new, _ = S.rewrite("Mr McDonald came; later McDonald and MCDONALD left", KEY, {})
+    first = re.search(r"Mr (\w+)", new)[1]
+    assert new == f"Mr {first} came; later {first} and {first.upper()} left"
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     # Nine values for one digit in four places: 150 addresses collide often.
     rows = [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("family", f"name{c}") for c in "abcdefgh" * 10]
