@@ -7,15 +7,22 @@ documents without replacement in proportion to their weights.
 
 Features are n-grams of word forms (capitals, letters, digits, other characters, length, same as the
 word before or a near one) and of the words themselves, so that layout, repetition and vocabulary
-all count.
+all count. N-grams that the target has not shown fall back to the raw model: ``BACK_OFF`` expected
+occurrences are added to both sides, so a rare one says little and only a common one that the target
+lacks says much.
 
-``k`` follows the labels: as many documents as lie above a low quantile of the labelled target
-rows' own importance. Random keys come from a hash of seed and ``doc_id``; reruns agree.
+The target rows are dealt to ``FOLDS`` folds by a hash of their text. A labelled target row is scored
+by models without its fold, so its own words (and those of its copies) do not speak for it, and the
+rows without a label are judged on the same scale. ``k`` follows the labels: as many documents as lie
+above a low quantile of the labelled target rows' importance, lowered by a quarter of the way to the
+same quantile from above of the labelled other rows, if those lie below. Random keys come from a hash
+of seed and ``doc_id``; reruns agree.
 
 Defined cases: a null or empty text has no n-grams, importance ``EMPTY`` and is never drawn; ties
-are drawn by ``doc_id`` (null first); rows with the same ``doc_id`` share the noise; without labelled target
-rows every document with text is kept; an empty table gives an empty one. Further columns pass through, and
-the added ones start with ``_imp_``.
+are drawn by ``doc_id`` (null first); rows with the same ``doc_id`` share the noise; a row's importance
+depends on its own text and label only, not on its batch; of several labels of one ``doc_id`` the best
+counts; without labelled target rows every document with text is kept; an empty table gives an empty
+one. Further columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -44,7 +51,16 @@ PRIOR = 32
 TEMPERATURE = 0.004
 EMPTY = -1e6
 SEED = "imp-1"
+# Occurrences that both models are given for every n-gram.
+BACK_OFF = 1.0
+FOLDS = 5
+# Of the way from the target rows' quantile down to the other rows'.
+MARGIN = 0.25
 _PARTS = 64
+# Task sums that are added up together; the sums of these groups are added last.
+_SLOTS = 512
+# Log ratios are whole billionths, so that sums do not depend on their order.
+_UNIT = 1e9
 
 
 def _forms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -98,63 +114,76 @@ def features(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[
     return bucket, np.searchsorted(place, first)
 
 
-def bucket_counts(docs: DataFrame, *, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """N-grams per bucket over all texts; one fixed-size array per task is summed in slices."""
+def bucket_counts(docs: DataFrame, *, text: str = "text", fold: str | None = None, folds: int = 1, buckets: int = BUCKETS) -> np.ndarray:
+    """N-grams per bucket over all texts, or a row of them per value of ``fold``.
+
+    One fixed-size array per task is cut into slices, which are added up in two steps.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros((folds, buckets), np.int64)
         for batch in batches:
-            for piece in B.pieces(batch, text):
-                found, _ = features(*B.raw(piece.column(text)), buckets)
-                total += np.bincount(found, minlength=buckets)
+            for piece in B.pieces(batch, "text"):
+                found, bounds = features(*B.raw(piece.column("text")), buckets)
+                if folds > 1:
+                    found = found + np.repeat(piece.column("fold").to_numpy().astype(np.int64), np.diff(bounds)) * buckets
+                total += np.bincount(found, minlength=folds * buckets).reshape(folds, buckets)
         if total.any():
-            slices = np.array_split(total, _PARTS)
+            slices = np.array_split(total.ravel(), _PARTS)
             yield pa.RecordBatch.from_pydict(
                 {"part": pa.array(range(_PARTS), pa.int32()), "n": pa.array([s.tolist() for s in slices], pa.list_(pa.int64()))}
             )
 
-    def add(pdf):
-        import pandas as pd
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.asarray(x.values) for x in rows["n"])
+        return pa.table({"part": rows["part"][:1], "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [np.sum(np.stack(pdf["n"].to_list()), axis=0)]})
+    rows = docs.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{fold}`") if fold else F.lit(0)).cast("int").alias("fold"))
+    schema = "part int, n array<bigint>"
+    counted = rows.mapInArrow(count, schema).withColumn("slot", F.spark_partition_id() % _SLOTS)
+    some = counted.groupBy("part", "slot").applyInArrow(add, schema)
+    sums = some.groupBy("part").applyInArrow(add, schema).collect()
+    total = np.zeros(folds * buckets, np.int64)
+    if sums:
+        total = np.concatenate([np.array(r["n"], np.int64) for r in sorted(sums, key=lambda r: r["part"])])
+    return total.reshape(folds, buckets) if folds > 1 else total
 
-    counted = docs.select(text).mapInArrow(count, "part int, n array<bigint>")
-    rows = counted.groupBy("part").applyInPandas(add, "part int, n array<bigint>").collect()
-    if not rows:
-        return np.zeros(buckets, np.int64)
-    return np.concatenate([np.array(r["n"], np.int64) for r in sorted(rows, key=lambda r: r["part"])])
 
+def log_ratio(target: np.ndarray, raw: np.ndarray, back_off: float = BACK_OFF) -> np.ndarray:
+    """Log of target over raw probability per bucket; both are given ``back_off`` more occurrences."""
+    expected = raw * (target.sum() / max(1, raw.sum()))
+    return np.log((target + back_off) / (expected + back_off))
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability per bucket; the target is smoothed with the raw model."""
-    raw_p = (raw + 0.1) / (raw.sum() + 0.1 * len(raw))
-    smooth = 0.5 * len(raw)
-    return np.log((target + smooth * raw_p * 1e-2 + 1e-9) / (target.sum() + smooth * 1e-2)) - np.log(raw_p)
 
+def importance(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """``row`` and ``label`` as they are, with ``score``, the mean log ratio of the n-grams of ``row.text``.
 
-def importance(docs: DataFrame, ratio: np.ndarray, *, text: str = "text") -> DataFrame:
-    """Documents with ``_imp_score``, the mean log ratio of their n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    kept = [f for f in docs.schema.fields if f.name != "_imp_score"]
-    schema = T.StructType([*kept, T.StructField("_imp_score", T.DoubleType())])
+    ``ratios`` has one table for every ``fold`` and a last one for rows without.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.rint(ratios * _UNIT).astype(np.int64))
+    schema = T.StructType([docs.schema["row"], docs.schema["label"], T.StructField("score", T.DoubleType())])
+    place = docs.schema["row"].dataType.names.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        tables = shared.value
+        size = tables.shape[1]
         for batch in batches:
-            for piece in B.pieces(batch, text):
-                found, bounds = features(*B.raw(piece.column(text)), len(table))
-                sums = np.concatenate([[0.0], np.cumsum(table[found])])
+            texts = batch.append_column("text", batch.column("row").field(place))
+            for piece in B.pieces(texts, "text"):
+                found, bounds = features(*B.raw(piece.column("text")), size)
                 n = np.diff(bounds)
-                mean = np.where(n > 0, np.diff(sums[bounds]) / (n + PRIOR), EMPTY)
-                columns = [piece.column(f.name) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(mean)], names=schema.names)
+                fold = piece.column("fold").to_numpy().astype(np.int64)
+                values = tables.ravel()[found + np.repeat(fold, n) * size]
+                sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
+                mean = np.where(n > 0, np.diff(sums[bounds]) / _UNIT / (n + PRIOR), EMPTY)
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("label"), pa.array(mean)], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return docs.select("row", "label", "fold").mapInArrow(score, schema)
 
 
-def key_of(temperature: float = TEMPERATURE, seed: str = SEED) -> Column:
+def key_of(temperature: float = TEMPERATURE, seed: str = SEED, doc_id: str = "doc_id") -> Column:
     """Importance over temperature plus Gumbel noise from a hash of seed and ``doc_id``, in billionths."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)).cast("double")
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 52)).cast("double")
     u = (draw + 0.5) / F.lit(float(1 << 52))
     key = F.col("_imp_score") / F.lit(temperature) - F.log(-F.log(u))
     return F.when(F.col("_imp_score") > EMPTY, F.floor(key * 1e9).cast("bigint"))
@@ -199,50 +228,65 @@ def among_top(slim: DataFrame, k: int) -> Column:
     return F.coalesce((key > edge) | ((key == edge) & (order >= last)), F.lit(False))
 
 
+def _sample(labels: DataFrame, quality: int, rows: int, seed: str) -> DataFrame:
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    return labels.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(rows)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, *, target_rows: int, seed: str) -> DataFrame:
+    """``row, label, fold`` of every row: label 1, 0 or null, and the fold of target rows (else ``FOLDS``).
+
+    At most ``target_rows`` ``doc_id`` of each quality are labelled, so their list is small enough to broadcast.
+    """
+    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = _sample(best, 1, target_rows, seed).unionByName(_sample(best, 0, target_rows, seed))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(F.broadcast(known), F.col("row.doc_id") == F.col("doc_id"), "left")
+    fold = F.when(F.col("quality") == 1, F.pmod(F.xxhash64(F.lit(seed), F.col("row.text")), F.lit(FOLDS))).otherwise(FOLDS)
+    return joined.select("row", F.col("quality").cast("int").alias("label"), fold.cast("int").alias("fold"))
+
+
 @dataclass
-class Model:
-    """Log ratio per bucket and the number of documents to draw."""
+class Draw:
+    """All rows with ``_imp_score`` and ``_imp_key`` beside ``row``, stored once, and the number to draw."""
 
-    ratio: np.ndarray
+    rows: DataFrame
     k: int
-    slim: DataFrame
+
+    def slim(self) -> DataFrame:
+        return self.rows.select(F.col("row.doc_id").alias("doc_id"), "_imp_score", "_imp_key")
 
 
-def fit(
+def score_all(
     docs: DataFrame,
     labels: DataFrame,
     *,
-    text: str = "text",
     target_rows: int = TARGET_ROWS,
     below: float = BELOW,
     temperature: float = TEMPERATURE,
     seed: str = SEED,
-) -> Model:
-    """Count both models and the keys of all documents; ``labels`` has ``doc_id, quality``."""
-    good = F.broadcast(
-        labels.where("quality = 1")
-        .select(F.col("doc_id").alias("_imp_id"))
-        .distinct()
-        .orderBy(F.xxhash64(F.lit(seed), F.col("_imp_id")), "_imp_id")
-        .limit(target_rows)
-    )
-    own = F.col("doc_id") == F.col("_imp_id")
-    target = docs.select("doc_id", text).join(good, own, "left_semi")
-    ratio = log_ratio(bucket_counts(target, text=text), bucket_counts(docs, text=text))
-    slim = durable(
-        importance(docs.select("doc_id", text), ratio, text=text)
-        .select("doc_id", "_imp_score")
-        .withColumn("_imp_key", key_of(temperature, seed))
-    )
-    with_text = slim.where(F.col("_imp_score") > EMPTY)
-    cut = with_text.join(good, own, "left_semi").agg(F.percentile("_imp_score", F.lit(below))).first()[0]
-    k = with_text.where(F.col("_imp_score") >= F.lit(-math.inf if cut is None else cut)).count()
-    return Model(ratio, k, slim)
+) -> Draw:
+    """Score and key of every row; ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id, quality``."""
+    rows = labelled(docs, labels, target_rows=target_rows, seed=seed)
+    target = rows.where(F.col("fold") < FOLDS).select(F.col("row.text").alias("text"), "fold")
+    per_fold = bucket_counts(target, fold="fold", folds=FOLDS)
+    raw, whole = bucket_counts(docs), per_fold.sum(axis=0)
+    ratios = np.stack([*(log_ratio(whole - own, raw) for own in per_fold), log_ratio(whole, raw)])
+    scored = importance(rows, ratios).withColumnRenamed("score", "_imp_score")
+    key = key_of(temperature, seed, doc_id="row.doc_id")
+    stored = durable(scored.select("row", "label", "_imp_score", key.alias("_imp_key")))
+    with_text = stored.where(F.col("_imp_score") > EMPTY)
+    level = lambda label, share: F.percentile(F.when(F.col("label") == label, F.col("_imp_score")), F.lit(share))
+    good, bad = with_text.where("label IS NOT NULL").agg(level(1, below), level(0, 1 - below)).first()
+    cut = -math.inf if good is None else good
+    if bad is not None and bad < cut:
+        cut -= MARGIN * (cut - bad)
+    return Draw(stored, with_text.where(F.col("_imp_score") >= F.lit(cut)).count())
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The drawn documents, with the columns of ``docs``."""
-    model = fit(docs, labels, **options)
-    passed = {k: options[k] for k in ("temperature", "seed") if k in options}
-    scored = importance(docs, model.ratio, text=options.get("text", "text")).withColumn("_imp_key", key_of(**passed))
-    return scored.where(among_top(model.slim, model.k)).select(*[f"`{c}`" for c in docs.columns])
+    draw = score_all(docs, labels, **options)
+    slim = draw.slim()
+    kept = draw.rows.withColumn("doc_id", F.col("row.doc_id")).where(among_top(slim, draw.k))
+    return kept.select("row.*")

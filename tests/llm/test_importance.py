@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import cohort_spark.llm.queries  # noqa: F401
 from cohort_spark.llm import bytes as B
@@ -84,7 +86,42 @@ def test_empty_tables(spark):
     assert [r.doc_id for r in I.resample(some, labels).collect()] == [1]
 
 
-def test_query_on_held_labels(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_hidden_labels(spark, sf):
+    """Half of the labels are hidden from the fit; the draw must treat those rows like the shown ones."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "quality")
+    hidden = F.pmod(F.xxhash64(F.lit("hide"), F.col("doc_id")), F.lit(2)) == 0
+    kept = I.resample(docs, labels.where(~hidden)).select("doc_id", F.lit(True).alias("kept"))
+    rows = labels.join(kept, "doc_id", "left").groupBy("quality", hidden.alias("hidden")).agg(F.count("kept") / F.count("*")).collect()
+    share = {(r[0], r[1]): r[2] for r in rows}
+    for shown_or_hidden in (True, False):
+        assert share[1, shown_or_hidden] >= 0.95
+        assert share[0, shown_or_hidden] <= 0.05
+
+
+def test_score_does_not_depend_on_neighbours_or_own_label(spark):
+    rows = corpus(random.Random(8), 80)
+    docs = spark.createDataFrame(rows + rows[:5], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(40)] + [(1, 0), (6, None)], "doc_id bigint, quality int")
+    one = {(r.doc_id, r._imp_score) for r in I.score_all(docs.repartition(1), labels).slim().collect()}
+    many = {(r.doc_id, r._imp_score) for r in I.score_all(docs.repartition(9), labels).slim().collect()}
+    assert one == many
+    assert len(one) == len(rows)
+
+
+def test_clashing_columns(spark):
+    rows = corpus(random.Random(4), 60)
+    docs = spark.createDataFrame(rows, DOCS)
+    clash = docs.selectExpr("*", "'a' AS _imp_score", "'b' AS _imp_key", "'c' AS row", "'d' AS label", "'e' AS fold", "1 AS score", "2 AS slot")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 60, 2)], "doc_id bigint, quality int")
+    out = I.resample(clash, labels)
+    assert out.columns == clash.columns
+    assert {(r._imp_score, r._imp_key, r["row"], r.label, r.fold, r.score, r.slot) for r in out.collect()} == {("a", "b", "c", "d", "e", 1, 2)}
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in I.resample(docs, labels).collect())
+
+
+def test_query_on_given_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op1_importance_resampling"](spark, sf)
     judged = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
