@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohort_spark.core import checkpoint_root
+from cohort_spark.core import checkpoint_root, durable
 from cohort_spark.sources import records as R
 from cohort_spark.sources import tables as S
 from cohort_spark.sources import units as U
 from cohort_spark.streaming import ingest as I
+from cohort_spark.streaming.status import group_status, state_store
 from testbed.registry import query
 from testbed.views import load, with_views
 
@@ -191,3 +194,50 @@ def stream_dedup(spark, sf_dir):
     running.awaitTermination()
     kept = spark.read.parquet(f"{root}/out")
     return kept.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+ORDER_LINES = """SELECT l_orderkey, l_linenumber, o_orderdate, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS declared
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+@query(
+    f"""WITH lines AS (SELECT *, o_orderdate + l_linenumber * INTERVAL 1 DAY AS seen FROM ({ORDER_LINES})),
+    per AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS found, max(declared) AS expected, max(seen) AS newest FROM lines GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN found >= expected THEN 'complete' ELSE 'incomplete' END AS status, found, CAST(expected AS BIGINT) AS expected
+    FROM per WHERE found >= expected OR newest + INTERVAL 30 DAY <= (SELECT max(seen) FROM lines) - INTERVAL 12 HOUR"""
+)
+def stream_series_status(spark, sf_dir):
+    """Lines arrive in three runs of one stream, a line's number of days after its order."""
+    root = f"{checkpoint_root(spark)}/status-{uuid.uuid4().hex}"
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    declared = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    at = F.timestamp_add("DAY", F.col("l_linenumber"), F.col("o_orderdate").cast("timestamp"))
+    rows = durable(joined.select("l_orderkey", "l_linenumber", declared.alias("declared"), at.alias("at")))
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    edges = [first + (last - first) * k / 3 for k in range(1, 3)]
+    run_of = sum((F.col("at") > F.lit(e)).cast("int") for e in edges)
+    with state_store(spark):
+        for number in range(3):
+            # The runs follow event time, so no row is older than the watermark it meets.
+            rows.where(run_of == number).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+            found = group_status(
+                stream,
+                group=["l_orderkey"],
+                member="l_linenumber",
+                expected="declared",
+                event_time="at",
+                late="12 hours",
+                wait=timedelta(days=30),
+                keep=timedelta(days=60),
+            )
+            running = (
+                found.writeStream.format("parquet")
+                .option("path", f"{root}/out")
+                .option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            running.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("l_orderkey", "status", "found", "expected")
