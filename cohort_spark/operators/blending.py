@@ -10,22 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.core import ContractError, durable, finite, require_columns
-from cohort_spark.operators.metrics import auc_of_counts, macro, score_counts
+from cohort_spark.operators.metrics import auc_of_counts, binary, macro, score_counts
+from cohort_spark.operators.vector_auc import held_out_candidate_aucs
 from cohort_spark.skew import running_totals
 
 # Rule weights tried by the label blends (fixed values).
 RULE_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
+# Folds are columns of the pair counts.
+MOST_FOLDS = 100
 
 
 def simplex_weights(n: int, step: float) -> list[tuple[float, ...]]:
     """Non-negative weight vectors that sum to one on a grid, in lexicographic order."""
     if n < 2:
-        raise ValueError("at least two sources are needed")
-    if not 0 < step <= 1:
-        raise ValueError("step must be in (0, 1]")
-    parts = round(1 / step)
-    if not math.isclose(parts * step, 1.0, rel_tol=1e-5, abs_tol=1e-8):
-        raise ValueError("step must divide 1 exactly")
+        raise ValueError(f"{n} sources leave nothing to weigh")
+    parts = round(1 / step) if step > 0 else 0
+    if not parts or not math.isclose(parts * step, 1.0, rel_tol=1e-6):
+        raise ValueError(f"{step} is not one part of a whole number of parts")
     heads = (h for h in product(range(parts + 1), repeat=n - 1) if sum(h) <= parts)
     return [tuple(v / parts for v in (*head, parts - sum(head))) for head in heads]
 
@@ -74,9 +75,12 @@ def held_out_aucs(counts: DataFrame, folds: Sequence[int], keys: Sequence[str])
     return sums.select(*group, F.inline(F.array(*rows))).where("known > 0")
 
 
-def _folds(long: DataFrame) -> list[int]:
-    """Fold numbers; their count is set by the configuration."""
-    return sorted(r[0] for r in long.select("fold").distinct().collect())
+def fold_numbers(long: DataFrame) -> list[int]:
+    """Fold numbers; their count is set by the configuration and checked here."""
+    found = long.select("fold").distinct().take(MOST_FOLDS + 1)
+    if len(found) > MOST_FOLDS:
+        raise ContractError(f"more than {MOST_FOLDS} folds")
+    return sorted(r[0] for r in found)
 
 
 def _first_best(scored: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -109,7 +113,7 @@ def nested_blend_weights(
     """
     known = long.where(finite(F.col("gold")).isNotNull())
     counts = score_counts(blend_candidates(known, weights), ["fold", "candidate"])
-    folds = _folds(long)
+    folds = fold_numbers(long)
     scored = macro(held_out_aucs(counts, folds, ["candidate"]), ["held_out", "candidate"])
     best = _first_best(scored, ["held_out"], "macro_auc").select(
         F.col("held_out").alias("_held"),
@@ -175,21 +179,11 @@ def _fusion_aucs(long: DataFrame, sources: Sequence[str], step: float) -> tuple[
     """AUC per (held_out, candidate, target) away from the held-out fold, and the weight vectors."""
     require_columns(long, ["fold", "target", "gold", *sources])
     candidates = simplex_weights(len(sources), step)
-
-    def mixed(weights: tuple[float, ...]) -> Column:
-        total = F.lit(0.0)
-        for w, s in zip(weights, sources, strict=True):
-            total = total + F.lit(w) * F.col(s)
-        return total
-
-    # Only gold rows are fanned out.
-    known = long.where(finite(F.col("gold")).isNotNull())
-    fanned = known.select(
-        "fold", "target", "gold", _fan_out([mixed(w) for w in candidates])
-    )
-    counts = score_counts(fanned, ["fold", "candidate"], check=False)
+    gold = binary(finite(F.col("gold")))
+    known = long.select("fold", "target", gold.alias("gold"), *sources).where("gold IS NOT NULL")
     vectors = F.array(*[F.array(*[F.lit(v) for v in w]) for w in candidates])
-    return held_out_aucs(counts, _folds(long), ["candidate"]), F.get(vectors, F.col("candidate"))
+    aucs = held_out_candidate_aucs(known, sources, candidates, fold_numbers(long))
+    return durable(aucs), F.get(vectors, F.col("candidate"))
 
 
 def simplex_scores(long: DataFrame, sources: Sequence[str], *, step: float = 0.05) -> DataFrame:
@@ -225,7 +219,7 @@ def nested_fusion_weights(
     )
     # Fail closed: every held-out fold (and target) needs gold of both classes elsewhere.
     found = best.where("development_auc IS NOT NULL").count()
-    groups = len(_folds(long)) * (long.select("target").distinct().count() if per_target else 1)
+    groups = len(fold_numbers(long)) * (long.select("target").distinct().count() if per_target else 1)
     if found < groups:
         raise ContractError("a held-out fold has no usable training gold")
     return best

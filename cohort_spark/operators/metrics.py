@@ -6,7 +6,6 @@ The long form is one row per (row, target) with ``target``, ``gold`` (null when
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.core import durable, finite, guarded, require_columns
 from cohort_spark.functions.probability import checked_probability, cross_entropy
+from cohort_spark.operators.vector_auc import resampled_aucs
 from cohort_spark.skew import exact_quantiles, running_totals
 
 
@@ -201,22 +201,6 @@ def percentile_ranks(
     return scores.withColumn("score", score).join(ranks, [*keys, "score"])
 
 
-# Cumulative probabilities of a Poisson(1) draw; beyond the last one the count is their number.
-_POISSON = [
-    sum(math.exp(-1.0) / math.factorial(j) for j in range(i + 1)) for i in range(12)
-]
-
-
-def _poisson_draw(identifier: str, replicate: str, seed: int) -> Column:
-    uniform = F.pmod(F.xxhash64(F.col(identifier), F.col(replicate), F.lit(seed)), F.lit(1 << 53)) / float(
-        1 << 53
-    )
-    draw = F.lit(len(_POISSON))
-    for count, bound in reversed(list(enumerate(_POISSON))):
-        draw = F.when(uniform < bound, F.lit(count)).otherwise(draw)
-    return draw
-
-
 def bootstrap_auc(
     long: DataFrame,
     *,
@@ -226,20 +210,16 @@ def bootstrap_auc(
 ) -> DataFrame:
     """95 % interval of the macro AUC over resampled studies.
 
-    A resample gives every study a Poisson(1) weight that is a hash of study, replicate and seed:
-    no row exchange between studies, the same draw for all targets of a study, the same result on
-    every run. Only known cells are replicated, and scores are combined before the shuffle.
+    A resample gives every study a Poisson(1) weight from a digest of study, replicate and seed: the
+    same draw for all targets of a study and the same result on every run and engine. The known cells
+    are shuffled once; the replicates are vectors that are added up along the order of the scores.
     """
     if iterations < 1:
         raise ValueError("iterations must be positive")
-    known = long.where(finite(F.col("gold")).isNotNull())
-    replicated = (
-        known.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-        .withColumn("_times", _poisson_draw(identifier, "replicate", seed))
-        .where(F.col("_times") > 0)
-    )
-    counts = score_counts(replicated, ["replicate"], weight=F.col("_times"))
-    resampled = macro(auc_of_counts(counts, ["replicate"]), ["replicate"])
+    gold = binary(finite(F.col("gold")))
+    score = checked_probability(F.col("score"))
+    known = long.select(F.col(identifier).alias("identifier"), "target", gold.alias("gold"), score.alias("score")).where("gold IS NOT NULL")
+    resampled = macro(resampled_aucs(known, replicates=iterations, seed=seed), ["replicate"])
     interval = resampled.agg(
         F.percentile("macro_auc", 0.025).alias("lower_95"),
         F.percentile("macro_auc", 0.975).alias("upper_95"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohort_spark.core import to_long, to_wide
+from cohort_spark.core import durable, to_long, to_wide
 from cohort_spark.functions import arrays as R
 from cohort_spark.operators import audit as A
 from cohort_spark.operators import blending as B
@@ -90,6 +90,30 @@ def assign_folds(spark, sf_dir):
     ).select(ID, "leakage_group", "fold")
 
 
+@query(
+    with_views(
+        "oof",
+        """SELECT count(*) AS rows, count(DISTINCT leakage_group) AS groups, 5 AS folds, CAST(0 AS BIGINT) AS split_groups, CAST(0 AS BIGINT) AS rows_without_fold,
+        TRUE AS better_than_given_folds FROM oof""",
+    )
+)
+def fold_invariants(spark, sf_dir):
+    """What holds for any right assignment: whole groups, all rows, all folds, better balance than the given folds."""
+    targets = ["quality__gold", "toxic__gold"]
+    oof = load(spark, sf_dir, "oof")
+    placed = durable(K.assign_folds(oof.drop("fold"), group="leakage_group", targets=targets, n_splits=5))
+    groups = placed.groupBy("leakage_group").agg(F.count("*").alias("n"), F.count_if(F.col("fold").isNull()).alias("none"), F.min("fold").alias("low"), F.max("fold").alias("high"))
+    objective = lambda df: K.fold_objective(df, targets, n_splits=5).select("objective")
+    counted = groups.agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("groups"),
+        (F.max("high") - F.min("low") + 1).alias("folds"),
+        F.count_if(F.col("low") < F.col("high")).alias("split_groups"),
+        F.sum("none").alias("rows_without_fold"),
+    )
+    return counted.withColumn("better_than_given_folds", objective(placed).scalar() < objective(oof).scalar())
+
+
 @query(
     with_views(
         "oof",
@@ -154,6 +178,28 @@ def fold_split(spark, sf_dir):
     return rounded(K.fold_split(cohort, TARGETS, validation_fold=2), *TARGETS)
 
 
+@query(
+    with_views(
+        "train semantic_labels inventory",
+        "WITH " + WEAK_SQL.strip() + ", " + GROUP_SQL.strip()
+        + """ SELECT t.StudyInstanceUID, t.PatientSex, leakage_group, """
+        + ", ".join(
+            f"""t.{t} AS {t}__gold, CAST(t.{t} IS NOT NULL AS INT) AS {t}__gold_mask, round(p_{t}.weak, 5) AS {t}__weak,
+            round(p_{t}.train_value, 5) AS {t}__train, p_{t}.proxy AS {t}__stratify"""
+            for t in TARGETS
+        )
+        + " FROM train t JOIN gp ON t.StudyInstanceUID = gp.StudyInstanceUID"
+        + "".join(f" JOIN pr p_{t} ON p_{t}.StudyInstanceUID = t.StudyInstanceUID AND p_{t}.target = '{t}'" for t in TARGETS),
+    )
+)
+def training_values(spark, sf_dir):
+    """The training table without folds and what follows from them."""
+    cohort = training_cohort(spark, sf_dir)
+    parts = ("gold", "gold_mask", "weak", "train", "stratify")
+    kept = cohort.select(ID, "PatientSex", "leakage_group", *[f"{t}__{p}" for t in TARGETS for p in parts])
+    return kept.withColumns({f"{t}__{p}": F.round(F.col(f"{t}__{p}").cast("double"), 5) for t in TARGETS for p in ("weak", "train")})
+
+
 @query()
 def training_cohort(spark, sf_dir):
     return C.training_cohort(
@@ -239,17 +285,69 @@ def simplex_scores(spark, sf_dir):
 # --- calibration ---------------------------------------------------------------------------------
 
 
-@query()
+def platt_sql(keys: str, passes: int = 14) -> str:
+    """Newton steps of all models of ``cn`` (keys, z, gold), one after the other; the last is ``fit``."""
+    same = " AND ".join(f"c.{k} = a.{k}" for k in keys.split(", "))
+    of = ", ".join(f"c.{k}" for k in keys.split(", "))
+    steps = [
+        f"sz AS (SELECT {keys}, count(*) AS known, least(sum(gold), count(*) - sum(gold)) AS thin FROM cn GROUP BY {keys})",
+        f"a0 AS (SELECT {keys}, 1.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept FROM sz WHERE thin >= 3)",
+    ]
+    for k in range(passes):
+        steps.append(
+            f"""d{k} AS MATERIALIZED (SELECT {keys}, slope, intercept, avg((p - gold) * z) + 0.02 * (slope - 1) AS g0, avg(p - gold) + 0.02 * intercept AS g1,
+            avg(p * (1 - p) * z * z) + 0.02 AS h0, avg(p * (1 - p) * z) AS h1, avg(p * (1 - p)) + 0.02 AS h2
+            FROM (SELECT {of}, slope, intercept, z, gold, 1 / (1 + exp(-(slope * z + intercept))) AS p FROM cn c JOIN a{k} a ON {same}) GROUP BY {keys}, slope, intercept),
+            e{k} AS (SELECT *, NOT ((slope <= 0.05 AND g0 > 0) OR (slope >= 10 AND g0 < 0)) AS f0,
+              NOT ((intercept <= -6 AND g1 > 0) OR (intercept >= 6 AND g1 < 0)) AS f1, h0 * h2 - h1 * h1 AS det FROM d{k}),
+            a{k + 1} AS MATERIALIZED (SELECT {keys},
+              least(greatest(slope + CASE WHEN f0 AND f1 THEN (h1 * g1 - h2 * g0) / det WHEN f0 THEN -g0 / h0 ELSE 0 END, 0.05), 10) AS slope,
+              least(greatest(intercept + CASE WHEN f0 AND f1 THEN (h1 * g0 - h0 * g1) / det WHEN f1 THEN -g1 / h2 ELSE 0 END, -6), 6) AS intercept FROM e{k})"""
+        )
+    steps.append(
+        f"""fit AS (SELECT {of}, coalesce(slope, 1) AS slope, coalesce(intercept, 0) AS intercept,
+        CASE WHEN slope IS NULL THEN 'identity_insufficient_classes' ELSE 'fitted' END AS status, known FROM sz c LEFT JOIN a{passes} a ON {same})"""
+    )
+    return ", ".join(steps)
+
+
+CALIBRATION_ROWS = """lg AS (SELECT StudyInstanceUID, fold, 'quality' AS target, quality__gold AS gold, quality__prediction AS score FROM oof
+    UNION ALL SELECT StudyInstanceUID, fold, 'toxic', toxic__gold, toxic__prediction FROM oof),
+lz AS (SELECT *, least(greatest(score, 0.00001), 0.99999) AS q, ln(q / (1 - q)) AS z FROM lg)"""
+CROSS_ROWS = f"""{CALIBRATION_ROWS},
+cn AS (SELECT held_out, target, z, gold FROM lz, (SELECT unnest(range(-1, 5)) AS held_out) WHERE held_out <> fold AND gold IS NOT NULL)"""
+
+
+@query(
+    with_views(
+        "oof",
+        f"""WITH {CALIBRATION_ROWS}, cn AS (SELECT target, z, gold FROM lz WHERE gold IS NOT NULL), {platt_sql("target")}
+        SELECT target, round(slope, 6) AS slope, round(intercept, 6) AS intercept, status, known FROM fit""",
+    )
+)
 def fit_platt(spark, sf_dir):
     return rounded(P.fit_platt(predictions(spark, sf_dir)), "slope", "intercept")
 
 
-@query()
+@query(
+    with_views(
+        "oof",
+        f"""WITH {CROSS_ROWS}, {platt_sql("held_out, target")}
+        SELECT CAST(held_out AS INT) AS held_out, target, round(slope, 6) AS slope, round(intercept, 6) AS intercept, status, known FROM fit""",
+    )
+)
 def cross_fit(spark, sf_dir):
     return rounded(P.cross_fit(predictions(spark, sf_dir)), "slope", "intercept")
 
 
-@query()
+@query(
+    with_views(
+        "oof",
+        f"""WITH {CROSS_ROWS}, {platt_sql("held_out, target")}
+        SELECT StudyInstanceUID, fold, PatientSex, lz.target, gold, round(1 / (1 + exp(-least(greatest(slope * z + intercept, -30), 30))), 6) AS score
+        FROM lz JOIN fit ON fold = held_out AND lz.target = fit.target JOIN (SELECT StudyInstanceUID, PatientSex FROM oof) USING (StudyInstanceUID)""",
+    )
+)
 def cross_fit_calibration(spark, sf_dir):
     return rounded(P.cross_fit_calibration(predictions(spark, sf_dir)), "score")
 

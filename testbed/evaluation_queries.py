@@ -11,6 +11,7 @@ from cohort_spark.operators import contracts as C
 from cohort_spark.operators import delivery as D
 from cohort_spark.operators import ensemble as E
 from cohort_spark.operators import metrics as M
+from cohort_spark.operators.vector_auc import POISSON
 from testbed.registry import query
 from testbed.views import load, with_views
 
@@ -159,9 +160,32 @@ def percentile_ranks(spark, sf_dir):
     return rounded(ranked.drop("score"), "rank")
 
 
-@query()
+BOOTSTRAP_SQL = f"""
+st AS (SELECT StudyInstanceUID AS s, md5(StudyInstanceUID || ':' || b || ':20260812') AS digest, b FROM (SELECT DISTINCT StudyInstanceUID FROM oof), range(125) x(b)),
+dr AS (SELECT s, 8 * b + d AS replicate, CAST('0x' || substr(digest, CAST(4 * d + 1 AS INT), 4) AS INT) AS number FROM st, range(8) y(d)),
+wt AS (SELECT s, replicate, {" + ".join(f"CAST(number >= {x} AS INT)" for x in POISSON)} AS w FROM dr),
+kn AS (SELECT StudyInstanceUID AS s, 'quality' AS target, quality__gold AS gold, quality__prediction AS score FROM oof WHERE quality__gold IS NOT NULL
+   UNION ALL SELECT StudyInstanceUID, 'toxic', toxic__gold, toxic__prediction FROM oof WHERE toxic__gold IS NOT NULL),
+sc AS (SELECT replicate, target, score, sum(w) FILTER (WHERE gold = 1) AS p, sum(w) FILTER (WHERE gold = 0) AS n FROM kn JOIN wt USING (s) GROUP BY ALL),
+rb AS (SELECT replicate, target, coalesce(p, 0) AS p, coalesce(n, 0) AS n,
+   coalesce(sum(n) OVER (PARTITION BY replicate, target ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sc),
+ra AS (SELECT replicate, target, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + n / 2.0)) / CAST(sum(p) * sum(n) AS DOUBLE) END AS auc FROM rb GROUP BY 1, 2),
+rm AS (SELECT replicate, avg(auc) AS m FROM ra GROUP BY 1),
+pa AS (SELECT target, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
+   FROM kn a JOIN (SELECT target AS t, score, gold FROM kn) b ON target = t AND a.gold = 1 AND b.gold = 0 GROUP BY 1)
+"""
+
+
+@query(
+    with_views(
+        "oof",
+        "WITH " + BOOTSTRAP_SQL.strip()
+        + """ SELECT (SELECT round(avg(auc), 6) FROM pa) AS point_estimate, round(quantile_cont(m, 0.025), 6) AS lower_95,
+        round(quantile_cont(m, 0.975), 6) AS upper_95, count(m) AS valid_bootstraps, 1000 AS requested_bootstraps FROM rm""",
+    )
+)
 def bootstrap_auc(spark, sf_dir):
-    return M.bootstrap_auc(predictions(spark, sf_dir))
+    return rounded(M.bootstrap_auc(predictions(spark, sf_dir)), "point_estimate", "lower_95", "upper_95")
 
 
 MODELS = ("a", "b", "c")

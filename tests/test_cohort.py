@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohort_spark.core import ContractError
+from cohort_spark.core import ContractError, durable
 from cohort_spark.operators import cohort as C
 from cohort_spark.operators import contracts as K
 from cohort_spark.operators import folds as D
+from cohort_spark.operators import placement as P
 
 
 @pytest.fixture(scope="module")
@@ -36,19 +39,45 @@ def test_folds_are_disjoint_balanced_and_repeatable(patients):
     assert quality.objective <= worse.objective
 
 
-def test_many_groups_are_sharded(spark):
-    table = spark.range(3000).select(
-        F.concat(F.lit("g"), (F.col("id") % 2000).cast("string")).alias("g"),
-        (F.pmod(F.xxhash64("id"), F.lit(10)) < 3).cast("int").alias("common"),
-        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)) < 2).cast("int").alias("rare"),
+def test_slices_place_about_as_well_as_one_task(spark):
+    """Waves of slices carry holdings; the balance stays near that of one search over all profiles."""
+    draw = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    table = spark.range(6000).select(
+        F.concat(F.lit("g"), F.when(draw(9, 3) == 0, F.lit(0)).otherwise(F.col("id") % 3500).cast("string")).alias("g"),
+        *[(draw(k, 10) < k).cast("int").alias(f"t{k}") for k in range(1, 6)],
+        F.when(draw(7, 100) < 2, 1).when(draw(7, 100) < 60, 0).alias("rare"),
     )
-    options = {"group": "g", "targets": ["common", "rare"], "n_splits": 5}
-    folded = D.assign_folds(table, **options, shards=7, rare_rows=200)
-    K.assert_group_disjoint(folded, "g")
-    assert folded.count() == 3000
-    got = D.fold_objective(folded, ["common", "rare"], n_splits=5).first().objective
-    hashed = table.withColumn("fold", F.pmod(F.xxhash64("g"), F.lit(5)).cast("int"))
-    assert got < D.fold_objective(hashed, ["common", "rare"], n_splits=5).first().objective
+    targets = [*(f"t{k}" for k in range(1, 6)), "rare"]
+    matrix = durable(D.group_matrix(table, "g", targets))
+    options = {"n_splits": 5, "seed": 3, "restarts": 6}
+    placed, whole, _ = P.place_profiles(matrix, **options)
+    profiles = placed.count()
+    assert profiles > 200
+    sliced, parted, _ = P.place_profiles(matrix, **options, slice_rows=40)
+    waved, waves = P._waves(matrix.withColumns({"load": F.col("size"), "name": F.xxhash64("group")}), 40)
+    assert waves > 2
+    assert waved.groupBy("wave", "slice").count().agg(F.max("count")).first()[0] < 200
+    # The group of a third of all rows makes both uneven.
+    assert parted < 2 * whole + 1e-3
+    assert sliced.select(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))).first()[0] == matrix.count()
+    assigned = P.place_groups(matrix, **options, slice_rows=40, rows_per_task=100)
+    assert assigned.count() == assigned.select("group").distinct().count() == matrix.count()
+    joined = table.join(assigned, table["g"] == assigned["group"])
+    assert D.fold_objective(joined, targets, n_splits=5).first().objective == pytest.approx(parted, abs=1e-9)
+
+
+def test_pouring_is_the_cheapest_way():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        folds, restarts = int(rng.integers(2, 5)), 2
+        cost, square = rng.normal(size=(restarts, folds)) * rng.choice([0, 1, 5]), rng.random(restarts) + 0.1
+        copies = rng.integers(1, 8, restarts)
+        got = P._pour(cost, square, copies)
+        for r in range(restarts):
+            price = lambda n: 2 * (n * cost[r]).sum() + square[r] * (n * n).sum()  # noqa: B023, E731
+            ways = [np.array(n) for n in itertools.product(range(copies[r] + 1), repeat=folds) if sum(n) == copies[r]]
+            assert got[r].sum() == copies[r]
+            assert price(got[r]) == pytest.approx(min(map(price, ways)))
 
 
 def test_fold_inputs_are_checked(patients):

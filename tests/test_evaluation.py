@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from cohort_spark.operators import delivery as D
 from cohort_spark.operators import ensemble as E
 from cohort_spark.operators import features as V
 from cohort_spark.operators import metrics as M
+from cohort_spark.operators import vector_auc as W
 
 LONG = "StudyInstanceUID string, fold int, target string, gold double, score double"
 
@@ -266,3 +269,75 @@ def test_gold_outside_the_binary_domain_fails(spark, gold):
     for measure in (M.auc, M.brier):
         with pytest.raises(Exception, match="gold must be 0 or 1"):
             measure(rows).collect()
+
+
+def naive_auc(gold, score, weight):
+    pairs = [(w * v, (a > b) + 0.5 * (a == b)) for g, a, w in zip(gold, score, weight) if g for h, b, v in zip(gold, score, weight) if not h]
+    total = sum(w for w, _ in pairs)
+    return sum(w * x for w, x in pairs) / total if total else None
+
+
+def test_resampled_aucs_equal_the_direct_form(spark):
+    """Many slices, ties that span slices, and a target with one class only."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i % 70}", t, int(rng.random() < 0.4), float(rng.choice([0.5, 0.5, 0.5, 0.25, rng.random()]))) for i in range(140) for t in ("x", "y")]
+    rows += [(f"s{i}", "z", 1, 0.5) for i in range(4)] + [(None, "x", 1, 0.5)]
+    known = spark.createDataFrame(rows, "identifier string, target string, gold int, score double").repartition(5)
+    got = {(r.target, r.replicate): r.auc for r in W.resampled_aucs(known, replicates=11, seed=7, rows_per_slice=20).collect()}
+    assert len(got) == 33
+    weights = {i: W.draws([i], 11, 7)[0] for i in {r[0] for r in rows}}
+    for (target, replicate), auc in got.items():
+        mine = [r for r in rows if r[1] == target]
+        want = naive_auc([r[2] for r in mine], [r[3] for r in mine], [weights[r[0]][replicate] for r in mine])
+        assert (auc is None) == (want is None) and (want is None or auc == pytest.approx(want, abs=1e-12))
+
+
+def test_draws_are_poisson():
+    weights = W.draws([f"s{i}" for i in range(400)], 250, 1)
+    assert weights.shape == (400, 250)
+    assert weights.mean() == pytest.approx(1.0, abs=0.02)
+    assert weights.var() == pytest.approx(1.0, abs=0.03)
+
+
+def test_candidate_aucs_equal_the_fanned_out_form(spark):
+    rng = np.random.default_rng(4)
+    value = lambda: None if rng.random() < 0.03 else float(rng.choice([0.5, rng.random(), 1.0]))
+    rows = [(int(rng.integers(4)), t, int(rng.random() < 0.5), value(), value()) for _ in range(150) for t in ("x", "y")]
+    rows += [(9, "z", 1, 0.5, 0.5), (0, "z", 0, 0.5, 0.25)]
+    known = spark.createDataFrame(rows, "fold int, target string, gold int, a double, b double").repartition(6)
+    weights = B.simplex_weights(2, 0.25)
+    folds = B.fold_numbers(known)
+    fanned = known.select("fold", "target", "gold", B._fan_out([F.lit(0.0) + F.lit(u) * F.col("a") + F.lit(v) * F.col("b") for u, v in weights]))
+    direct = B.held_out_aucs(M.score_counts(fanned, ["fold", "candidate"], check=False), folds, ["candidate"])
+    columns = ["target", "candidate", "held_out", "known", "positives", "negatives", "auc"]
+    want = sorted((tuple(r) for r in direct.select(columns).collect()), key=repr)
+    for size in (10**6, 40):
+        got = W.held_out_candidate_aucs(known, ["a", "b"], weights, folds, rows_per_range=size)
+        rows_ = sorted((tuple(r) for r in got.select(columns).collect()), key=repr)
+        assert [r[:6] for r in rows_] == [r[:6] for r in want]
+        assert [r[6] for r in rows_] == [None if r[6] is None else pytest.approx(r[6], abs=1e-12) for r in want]
+
+
+def test_many_calibration_models_advance_together(spark):
+    """Every model equals its own fit; no parameter passes through the driver."""
+    rows = spark.range(600 * 12).select(
+        (F.col("id") % 600).alias("target"),
+        F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, 1.0).otherwise(0.0).alias("gold"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(99)) / 99 + 0.005).alias("score"),
+    )
+    fits = {r.target: r for r in P.fit_platt(rows).collect()}
+    assert len(fits) == 600
+    assert {r.status for r in fits.values()} == {"fitted", "identity_insufficient_classes"}
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r.target, []).append((math.log(r.score / (1 - r.score)), r.gold))
+    for target in range(0, 600, 40):
+        fit, points = fits[target], data[target]
+        if fit.status != "fitted":
+            assert min(sum(g for _, g in points), sum(1 - g for _, g in points)) < 3
+            continue
+        loss = lambda a, b: sum(math.log1p(math.exp(-abs(a * z + b))) + max(a * z + b, 0) - g * (a * z + b) for z, g in points) / len(points) + 0.01 * ((a - 1) ** 2 + b * b)  # noqa: B023, E731
+        best = loss(fit.slope, fit.intercept)
+        for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)):
+            a, b = min(max(fit.slope + da, 0.05), 10), min(max(fit.intercept + db, -6), 6)
+            assert best <= loss(a, b) + 1e-12
