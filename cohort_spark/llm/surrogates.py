@@ -1,8 +1,10 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
-Entities are e-mail addresses, telephone numbers, IP addresses, card and social security numbers, and
-names after a title or after a known given name; once a name is found, its parts are replaced wherever
-the document writes them with a capital. Telephone numbers have a plus sign or 00, the 3-3-4 digits of
+Entities are e-mail addresses, telephone numbers, IP addresses of both versions, card, account (IBAN),
+social security and passport numbers, dates of birth, street addresses, and names after a title, a
+greeting, a word that introduces them or a known given name; once a name is found, its parts are
+replaced wherever the document writes them with a capital. Card numbers have 16 digits, or another
+length with a right check digit and issuer; account numbers have right check digits. Telephone numbers have a plus sign or 00, the 3-3-4 digits of
 North America (written together, too), a leading 0 and groups, or a word like "call" before them. An
 entity's normal form (lower case, digits only, country and national number, one
 name part) and a secret key give its surrogate, so every mention gets the same one (coreference) in
@@ -10,30 +12,36 @@ the format in which it is written. A check over all entities of the corpus keeps
 from each other and from real entities: who collides draws again, until nobody does. Only entities
 that drew again have to be looked up when documents are rewritten.
 
+Dates of birth move by one keyed number of days, so different ones stay different; they are no
+identifiers and may meet another real date. A kind whose format has fewer than twice as many values as
+entities is refused before any drawing.
+
 Name parts are replaced one by one, so "Mr Smith" and "Anna Smith" keep a common family name; a given
 name keeps its gender through its ending, a name its script.
 
 Defined cases: a null text stays null, a text without entities stays as it is; repeated rows are
 rewritten alike; overlapping finds go to the earlier, then to the longer one; an empty table gives an empty
-one. Columns pass through; added ones start with ``_pii_``.
+one. Columns pass through under any name; the added one is ``_pii_kinds`` and replaces one of that name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 from collections.abc import Iterator, Mapping
+from datetime import date, timedelta
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohort_spark.core import durable
+from cohort_spark.core import ContractError, durable
 from cohort_spark.llm import bytes as B
 
-KINDS = ("email", "phone", "ip", "card", "ssn", "given", "family")
+KINDS = ("email", "phone", "ip", "ipv6", "card", "iban", "ssn", "passport", "birth", "street", "given", "family")
 # Entities that drew again and are broadcast; more are joined to the documents.
 BROADCAST_REDRAWN = 100_000
 # From this draw on a surrogate may use a wider format, so that small ranges do not run out.
@@ -55,7 +63,7 @@ _SOUNDS = {
 _GENDER = {t.lower(): g for g, titles in (("m", _MALE), ("f", _FEMALE), ("", _EITHER)) for t in titles}
 _KNOWN = {name.lower(): g for g, names in _GIVEN.items() for name in names}
 
-_DOMAIN = regex.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}")
+_DOMAIN = regex.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _NUMBERS = regex.compile(
     r"(?=[\d+(])(?:(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -84,6 +92,30 @@ _NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}])({_PART})(?=[ ]{_PARTICLES}({_NAM
 _PIECE = regex.compile(_PART)
 _BARE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d_]){_PART}(?![\p{{L}}\p{{M}}\d_])")
 
+# Words before names, dates of birth and passport numbers, and words in street names.
+_GREETINGS = (
+    "dear", "hi", "hello", "hallo", "hey", "cher", "chère", "bonjour", "querido", "querida", "estimado", "estimada", "hola", "liebe", "lieber",
+    "my name is", "name:", "named", "signed", "regards", "sincerely", "yours", "ich heiße", "je m'appelle", "me llamo", "меня зовут", "с уважением", "με λένε",
+)
+_BORN = ("born", "birth", "dob", "geboren", "geburtsdatum", "né le", "née le", "naissance", "nacido", "nacida", "nacimiento")
+_STREETS = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Terrace|Crescent|St|Ave|Rd|Ln|Blvd"
+_GREETED = regex.compile(
+    rf"(?<![\p{{L}}\p{{M}}])(?i:{'|'.join(map(regex.escape, _GREETINGS))})[,:]?[ \n]{{1,2}}(?:(?:{_TITLES})\b\.?[ ])?({_NAME})(?:[ ]{_PARTICLES}({_NAME}))?"
+)
+# More people after a greeted one: "and", commas.
+_JOINED = regex.compile(rf"(?:,|[ ]and|[ ]und|[ ]et|[ ]y|[ ]и|[ ]και|,?[ ]meet)[ ]({_NAME})[ ]{_PARTICLES}({_NAME})")
+_BIRTH = regex.compile(rf"(?i:{'|'.join(map(regex.escape, _BORN))})[^\d\n]{{0,16}}(?P<d>\d{{4}}[./-]\d{{1,2}}[./-]\d{{1,2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}})(?!\d)")
+_PASSPORT = regex.compile(r"(?i:passport|reisepass|passeport|pasaporte)[^\d\n]{0,12}?(?<![A-Za-z0-9])(?P<p>[A-Z]{0,2}\d{6,9})(?![A-Za-z0-9])")
+_STREET = regex.compile(
+    rf"(?<![\p{{L}}\d])(?P<n>\d{{1,5}})[ ](?P<s>\p{{Lu}}[\p{{L}}'’-]+(?:[ ]\p{{Lu}}[\p{{L}}'’-]+){{0,2}}?)[ ](?:{_STREETS})\b"
+    r"|(?<![\p{L}])(?P<s>\p{Lu}\p{L}{2,}?)(?:straße|strasse|gasse|weg|platz|allee)[ ](?P<n>\d{1,4})(?!\d)"
+    r"|(?<![\p{L}\d])(?P<n>\d{1,4}),?[ ](?:rue|avenue|boulevard|place|chemin)[ ](?:(?:de|du|des|la|le|les)[ ]|l['’]|d['’])*(?P<s>\p{Lu}[\p{L}-]+)"
+    r"|(?<![\p{L}])(?i:calle|avenida|plaza|paseo)[ ](?:(?:de|del|la|las|los|el)[ ])*(?P<s>\p{Lu}[\p{L}-]+)[ ,]+(?P<n>\d{1,4})(?!\d)"
+)
+_STREET_WORDS = (*(w.lower() for w in _STREETS.split("|")), "straße", "strasse", "gasse", "weg ", "platz", "allee", "rue ", "place ", "chemin ", "calle ", "avenida ", "plaza ", "paseo ")
+_IBAN = regex.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IPV6 = regex.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
+
 Found = tuple[int, int, str, str]
 
 
@@ -100,6 +132,73 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def card_like(digits: str) -> bool:
+    """Sixteen digits, or the right check digit with a length and start that an issuer uses."""
+    if len(digits) == 16:
+        return True
+    start = {13: ("4",), 14: ("30", "36", "38"), 15: ("34", "37"), 18: ("62",), 19: ("4", "62")}.get(len(digits), ())
+    return digits.startswith(start) and luhn(digits) if start else False
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of an account number."""
+    number = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{98 - number % 97:02d}"
+
+
+def _account(said: str) -> str | None:
+    plain = said.replace(" ", "")
+    return plain if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4] else None
+
+
+def _ipv6(said: str) -> str | None:
+    try:
+        address = ipaddress.IPv6Address(said)
+    except ValueError:
+        return None
+    return None if address.is_unspecified or address.is_loopback or not regex.search("[0-9A-Fa-f]{2}", said) else address.compressed
+
+
+def _day(said: str) -> date | None:
+    parts = [int(x) for x in regex.split("[./-]", said)]
+    if parts[0] > 31:
+        year, month, day = parts
+    else:
+        day, month, year = parts
+        if month > 12:
+            day, month = month, day
+    try:
+        return date(year, month, day) if 1890 <= year <= 2100 else None
+    except ValueError:
+        return None
+
+
+def _personal(text: str) -> Iterator[Found]:
+    """Accounts, addresses of version 6, passports, dates of birth and streets; each is looked for where a sign of it is."""
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            normal = _ipv6(m[0])
+            if normal:
+                yield m.start(), m.end(), "ipv6", normal
+    for m in _IBAN.finditer(text):
+        normal = _account(m[0])
+        if normal:
+            yield m.start(), m.end(), "iban", normal
+    lowered = text.lower()
+    if any(w in lowered for w in _BORN):
+        for m in _BIRTH.finditer(text):
+            day = _day(m["d"])
+            if day:
+                yield m.start("d"), m.end("d"), "birth", day.isoformat()
+    if any(w in lowered for w in ("passport", "reisepass", "passeport", "pasaporte")):
+        for m in _PASSPORT.finditer(text):
+            yield m.start("p"), m.end("p"), "passport", m["p"]
+    if any(w in lowered for w in _STREET_WORDS):
+        for m in _STREET.finditer(text):
+            low, high = min(m.start("n"), m.start("s")), max(m.end("n"), m.end("s"))
+            yield low, high, "street", f"{m['n']}|{m['s'].lower()}"
+
+
 def _emails(text: str) -> Iterator[Found]:
     at = text.find("@")
     while at >= 0:
@@ -123,7 +222,9 @@ def _numbers(text: str) -> Iterator[Found]:
             if normal:
                 yield m.start(), m.end(), kind, normal
         else:
-            yield m.start(), m.end(), kind, "".join(c for c in said if c.isdigit())
+            digits = "".join(c for c in said if c.isdigit())
+            if kind == "ssn" or card_like(digits):
+                yield m.start(), m.end(), kind, digits
 
 
 def phone(said: str) -> str | None:
@@ -172,6 +273,17 @@ def _names(text: str) -> list[Found]:
         if m[1].lower() in _KNOWN:
             found += _parts("given", m[1], m.start(1), "")
             found += _parts("family", m[2], m.start(2), "")
+    if any(w in text.lower() for w in _GREETINGS):
+        for m in _GREETED.finditer(text):
+            people = [m]
+            while (more := _JOINED.match(text, people[-1].end())) is not None:
+                people.append(more)
+            for p in people:
+                if p[2]:
+                    found += _parts("given", p[1], p.start(1), "")
+                    found += _parts("family", p[2], p.start(2), "")
+                elif p is m and p[1].lower() not in _GENDER:
+                    found += _parts("given", p[1], p.start(1), "")
     if not found:
         return found
     # The same parts on their own: family names first, then given names.
@@ -191,7 +303,8 @@ def entities(text: str | None) -> list[Found]:
     found: list[Found] = []
     if "@" in text:
         found += _emails(text)
-    found += _numbers(text)
+    found += _personal(text)
+    found += [n for n in _numbers(text) if not any(a < n[1] and n[0] < b for a, b, _, _ in found)]
     found += _announced(text, found)
     found += _names(text)
     out: list[Found] = []
@@ -239,8 +352,22 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
         country, digits = normal.split("|")
         first = "0" + str(1 + say.below(9)) if digits[0] == "0" else str(2 + say.below(8))
         return f"{country}|{first}{say.like(digits[len(first):])}"
-    if kind == "ssn":
-        return say.like(normal)
+    if kind in ("ssn", "passport"):
+        new = say.like(normal)
+        return new.upper() if kind == "passport" else new
+    if kind == "ipv6":
+        groups = ipaddress.IPv6Address(normal).exploded.split(":")
+        # Empty groups stay, so the address is written alike; the first one stays, its network is no person's.
+        drawn = [g if not i or g == "0000" else f"{1 + say.below(65535):04x}" for i, g in enumerate(groups)]
+        return ipaddress.IPv6Address(":".join(drawn)).compressed
+    if kind == "iban":
+        account = say.like(normal[4:].lower()).upper()
+        return normal[:2] + iban_check(normal[:2], account) + account
+    if kind == "birth":
+        return (date.fromisoformat(normal) + timedelta(days=40 + _Draw(key, "days").below(2000))).isoformat()
+    if kind == "street":
+        number, name = normal.split("|")
+        return f"{max(1, int('1' + say.like(number)) % 10 ** len(number))}|{surrogate(key, 'family', name, draw)}"
     if kind == "card":
         body = normal[0] + say.like(normal[1:-1])
         check = next(str(d) for d in range(10) if luhn(body + str(d)))
@@ -261,8 +388,22 @@ def written(kind: str, said: str, new: str) -> str:
         stay = [c for c in said if c.isdigit()]
         supply = iter([*stay[: len(stay) - len(digits)], *digits])
         return "".join(next(supply) if c.isdigit() else c for c in said)
-    if kind == "ip":
+    if kind in ("ip", "passport"):
         return new
+    if kind == "ipv6":
+        return new.upper() if regex.search("[A-F]", said) else new
+    if kind == "iban":
+        supply = iter(new)
+        return "".join(c if c == " " else next(supply) for c in said)
+    if kind == "birth":
+        return _dated(said, date.fromisoformat(new))
+    if kind == "street":
+        number, name = new.split("|")
+        digits = regex.search(r"\d+", said)
+        word = regex.search(r"\p{Lu}.*\p{L}", said)
+        parts = sorted([(digits.span(), number), (word.span(), name[:1].upper() + name[1:])])
+        (a, b), (c, d) = parts[0][0], parts[1][0]
+        return said[:a] + parts[0][1] + said[b:c] + parts[1][1] + said[d:]
     new = new.split("|")[-1]
     if said.isupper():
         return new.upper()
@@ -271,6 +412,17 @@ def written(kind: str, said: str, new: str) -> str:
     return "".join(n.upper() if i < len(said) and said[i].isupper() else n for i, n in enumerate(new))
 
 
+def _dated(said: str, day: date) -> str:
+    """The date in the order and width of a mention."""
+    parts = regex.split("([./-])", said)
+    numbers = [int(x) for x in parts[::2]]
+    if numbers[0] > 31:
+        values = (day.year, day.month, day.day)
+    else:
+        values = (day.month, day.day, day.year) if numbers[1] > 12 else (day.day, day.month, day.year)
+    return "".join(parts[i] if i % 2 else str(values[i // 2]).zfill(len(parts[i])) for i in range(len(parts)))
+
+
 def rewrite(text: str | None, key: bytes, redrawn: Mapping[tuple[str, str], int]) -> tuple[str | None, list[Found]]:
     """The text with all entities replaced, and what was found."""
     found = entities(text)
@@ -310,8 +462,34 @@ def _drawn(named: DataFrame, key: bytes) -> DataFrame:
     return named.select("kind", "normal", "draw").mapInArrow(give, "kind string, normal string, draw int, new string")
 
 
+def format_of(kind: Column, normal: Column) -> Column:
+    """What the surrogate shares with the entity of a kind with few values: digits as 0, small letters as a."""
+    shape = F.regexp_replace(F.regexp_replace(normal, "[0-9]", "0"), "[A-Za-z]", "a")
+    return (
+        F.when(kind == "phone", F.concat(F.substring_index(normal, "|", 1), F.lit("|"), F.regexp_replace(F.substring_index(normal, "|", -1), "[0-9]", "0")))
+        .when(kind == "card", F.concat(F.left(normal, F.lit(1)), shape))
+        .when(kind == "iban", F.concat(F.left(normal, F.lit(2)), F.substring(shape, 5, 99)))
+        .when(kind.isin("ssn", "passport"), shape)
+    )
+
+
+def enough_values(known: DataFrame) -> None:
+    """Raise when a format has fewer than twice as many values as entities; drawing could not end."""
+    shape = format_of(F.col("kind"), F.col("normal")).alias("shape")
+    counted = known.select("kind", shape).where("shape IS NOT NULL").groupBy("kind", "shape").agg(F.count("*").alias("n"))
+    body = F.substring_index("shape", "|", -1)
+    digits, letters = (F.length(body) - F.length(F.replace(body, F.lit(c), F.lit(""))) for c in "0a")
+    # A telephone number's first digit and a card's first and check digit are not free.
+    fixed = F.when(F.col("kind") == "phone", 1).when(F.col("kind") == "card", 2).otherwise(0)
+    values = F.pow(F.lit(10.0), F.greatest(digits - fixed, F.lit(0))) * F.pow(F.lit(26.0), letters)
+    full = counted.where(2 * F.col("n") > values).take(5)
+    if full:
+        raise ContractError("too many entities for their format: " + "; ".join(f"{r.kind} {r['shape']}: {r.n}" for r in full))
+
+
 def assign(known: DataFrame, key: bytes) -> DataFrame:
-    """``kind, normal, draw, new``: distinct surrogates, none of them a real entity."""
+    """``kind, normal, draw, new``: distinct surrogates, none of them a real entity (but for dates of birth)."""
+    enough_values(known)
     real = known.select(F.col("kind").alias("r_kind"), F.col("normal").alias("r_normal"))
     now = durable(_drawn(known.withColumn("draw", F.lit(0)), key))
     while True:
@@ -320,7 +498,7 @@ def assign(known: DataFrame, key: bytes) -> DataFrame:
         judged = now.join(owner, same).join(
             real.withColumn("is_real", F.lit(True)), (F.col("kind") == F.col("r_kind")) & (F.col("new") == F.col("r_normal")), "left"
         )
-        bad = F.coalesce("is_real", F.lit(False)) | (F.col("o.normal") != F.col("normal"))
+        bad = (F.col("kind") != "birth") & (F.coalesce("is_real", F.lit(False)) | (F.col("o.normal") != F.col("normal")))
         judged = durable(judged.select("kind", "normal", "draw", "new", bad.alias("bad")))
         if judged.where("bad").isEmpty():
             return judged.drop("bad")
@@ -330,48 +508,53 @@ def assign(known: DataFrame, key: bytes) -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, *, text: str = "text", broadcast: int = BROADCAST_REDRAWN) -> DataFrame:
     """Documents with surrogates in ``text`` and ``_pii_kinds``, the kinds of the entities found."""
-    redrawn = durable(assign(all_entities(docs, text), key).where("draw > 0").select("kind", "normal", "draw"))
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    redrawn = durable(assign(all_entities(rows), key).where("draw > 0").select("kind", "normal", "draw"))
     few = redrawn.limit(broadcast + 1).count() <= broadcast
     table = {(r["kind"], r["normal"]): r["draw"] for r in redrawn.collect()} if few else {}
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    source = docs if few else _with_redrawn(docs, redrawn, text)
-    columns_in = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_pii_kinds", T.ArrayType(T.StringType()))])
+    source = rows if few else _with_redrawn(rows, redrawn)
+    schema = T.StructType(
+        [rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
+    )
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in B.pieces(batch, text):
-                own = [None] * len(piece) if few else piece.column("_pii_redrawn").to_pylist()
+            for piece in B.pieces(batch, "text"):
+                own = [None] * len(piece) if few else piece.column("redrawn").to_pylist()
                 texts, kinds = [], []
-                for t, mine in zip(piece.column(text).to_pylist(), own, strict=True):
+                for t, mine in zip(piece.column("text").to_pylist(), own, strict=True):
                     draws = shared.value if mine is None else {(m["kind"], m["normal"]): m["draw"] for m in mine}
                     new, found = rewrite(t, key, draws)
                     texts.append(new)
                     kinds.append([f[2] for f in found])
-                columns = [pa.array(texts, pa.string()) if c == text else piece.column(c) for c in columns_in]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("row"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=schema.names
+                )
 
-    return source.mapInArrow(change, schema)
+    changed = source.mapInArrow(change, schema)
+    kept = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "_pii_kinds"]
+    return changed.select(*kept, F.col("kinds").alias("_pii_kinds"))
 
 
-def _with_redrawn(docs: DataFrame, redrawn: DataFrame, text: str) -> DataFrame:
-    """Documents with ``_pii_redrawn``: those of their entities that drew again."""
-    keyed = docs.withColumn("_pii_row", F.xxhash64(text))
+def _with_redrawn(rows: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """Rows with ``redrawn``: those of their entities that drew again."""
+    keyed = rows.withColumn("at", F.xxhash64("text"))
 
     def mention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (i, k, n) for i, t in zip(batch.column("_pii_row").to_pylist(), batch.column(text).to_pylist(), strict=True)
+            named = [
+                (i, k, n) for i, t in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), strict=True)
                 for k, n in {(f[2], f[3]) for f in entities(t)}
             ]
-            cells = list(zip(*rows, strict=True)) or [[], [], []]
+            cells = list(zip(*named, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.string()), pa.array(cells[2], pa.string())],
-                names=["_pii_of", "kind", "normal"],
+                names=["of", "kind", "normal"],
             )
 
-    mentions = keyed.select("_pii_row", text).mapInArrow(mention, "_pii_of bigint, kind string, normal string").distinct()
-    own = mentions.join(redrawn, ["kind", "normal"]).groupBy("_pii_of").agg(F.collect_list(F.struct("kind", "normal", "draw")).alias("_pii_redrawn"))
-    joined = keyed.join(own, F.col("_pii_row") == F.col("_pii_of"), "left")
+    mentions = keyed.select("at", "text").mapInArrow(mention, "of bigint, kind string, normal string").distinct()
+    own = mentions.join(redrawn, ["kind", "normal"]).groupBy("of").agg(F.collect_list(F.struct("kind", "normal", "draw")).alias("redrawn"))
+    joined = keyed.join(own, F.col("at") == F.col("of"), "left")
     empty = F.array().cast("array<struct<kind:string,normal:string,draw:int>>")
-    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce("_pii_redrawn", empty).alias("_pii_redrawn"))
+    return joined.select("row", "text", F.coalesce("redrawn", empty).alias("redrawn"))

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import cohort_spark.llm.queries  # noqa: F401
+from cohort_spark.core import ContractError
 from cohort_spark.llm import surrogates as S
 from cohort_spark.llm.registry import QUERIES
 
@@ -118,3 +119,49 @@ def test_query_leaves_no_entity_of_the_corpus(spark):
         if not old:
             assert r.text == before[r.doc_id]
     assert len(set(first.values())) == len(first)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("IBAN DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432.", [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]),
+    ("from 2001:db8::8a2e:370:7334, 2001:0DB8:85A3:0000:0000:8A2E:0370:7335", [("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "2001:0DB8:85A3:0000:0000:8A2E:0370:7335")]),
+    ("born on 31.12.1980; date of birth: 1975-02-03; DOB 12/25/1999", [("birth", "31.12.1980"), ("birth", "1975-02-03"), ("birth", "12/25/1999")]),
+    ("passport no. C01234567 and Passport: 123456789", [("passport", "C01234567"), ("passport", "123456789")]),
+    ("at 221 Baker Street, Hauptstraße 12, 5 rue de Rivoli, calle Mayor 7", [("street", "221 Baker"), ("street", "Hauptstraße 12"), ("street", "5 rue de Rivoli"), ("street", "Mayor 7")]),
+    ("Dear Sarah Connor, meet Wei Zhang and Priya Patel", [("given", "Sarah"), ("family", "Connor"), ("given", "Wei"), ("family", "Zhang"), ("given", "Priya"), ("family", "Patel")]),
+    ("меня зовут Анна Петрова; με λένε Νίκος Παππάς", [("given", "Анна"), ("family", "Петрова"), ("given", "Νίκος"), ("family", "Παππάς")]),
+    ("a@b1.b2.b3.b4.b5.b6.b7.b8.b9.example.com", [("email", "a@b1.b2.b3.b4.b5.b6.b7.b8.b9.example.com")]),
+    ("378282246310005 3782 4222222222222", [("card", "378282246310005"), ("card", "4222222222222")]),
+    ("9780306406157 1700000000000 20240131123456 378282246310006", []),
+    ("at 10:30:45, a::b, DE88370400440532013000, 12 monkeys, 1999-12-31, the dear old house", []),
+])
+def test_more_kinds(text, want):
+    found = S.entities(text)
+    assert [(k, text[a:b]) for a, b, k, _ in found] == want
+    new, _ = S.rewrite(text, KEY, {})
+    assert not any(part in new for _, part in want if len(part) > 6)
+
+
+def test_formats_and_check_digits_stay():
+    new, _ = S.rewrite("DE89 3704 0044 0532 0130 00", KEY, {})
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", new) and S._account(new) and "3704" not in new
+    new, _ = S.rewrite("born 31.12.1980, DOB 1980-12-31, born 12/31/1980", KEY, {})
+    day = re.findall(r"\d[\d./-]+\d", new)
+    assert {S._day(d) for d in day} == {S._day(day[0])} and S._day(day[0]) != S._day("31.12.1980")
+    assert [re.sub(r"\d", "0", d) for d in day] == ["00.00.0000", "0000-00-00", "00/00/0000"]
+    new, _ = S.rewrite("2001:0DB8:85A3::8A2E:0370:7334", KEY, {})
+    assert S._ipv6(new) and new.startswith("2001:") and new == new.upper()
+    new, _ = S.rewrite("at 221 Baker Street", KEY, {})
+    assert re.fullmatch(r"at \d{1,3} \p{Lu}\w+ Street".replace(r"\p{Lu}", "[A-Z]"), new) and "Baker" not in new
+
+
+def test_full_formats_are_refused(spark):
+    known = spark.createDataFrame([("phone", f"299|{n}") for n in range(2000, 8000)], "kind string, normal string")
+    with pytest.raises(ContractError, match="phone 299"):
+        S.assign(known, KEY)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", "x", 5, "r", "q")], "doc_id bigint, text string, _pii_kinds string, row int, at string, redrawn string")
+    for size in (100, 0):
+        out = S.replace(docs, KEY, broadcast=size).first()
+        assert (out["row"], out["at"], out["redrawn"], out["_pii_kinds"]) == (5, "r", "q", ["email"]) and "a.b@" not in out["text"]
