@@ -217,20 +217,20 @@ def _judge(batch: pa.RecordBatch, text: str, automaton: Automaton) -> list[pa.Ar
     ]
 
 
-def _pass(docs: DataFrame, text: str, automaton: Automaton) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    kept = [f for f in docs.schema.fields if f not in ADDED]
+def _pass(rows: DataFrame, automaton: Automaton) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+    kept = [f for f in rows.schema.fields if f not in ADDED]
     schema = T.StructType([*kept, *ADDED])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in B.pieces(batch, text):
+            for piece in B.pieces(batch, "text"):
                 arrays = [piece.column(f.name) for f in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [*arrays, *_judge(piece, text, shared.value)], names=schema.names
+                    [*arrays, *_judge(piece, "text", shared.value)], names=schema.names
                 )
 
-    return docs.mapInArrow(judge, schema)
+    return rows.mapInArrow(judge, schema)
 
 
 def automata(
@@ -250,6 +250,14 @@ def automata(
         yield Automaton(block, window)
 
 
+def _scanned(docs: DataFrame, items: DataFrame, text: str, window: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``row`` (all columns of ``docs``, under any name), ``text`` and the added columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    for automaton in automata(items, window=window, block_tokens=block_tokens):
+        rows = _pass(rows, automaton)
+    return rows
+
+
 def scan(
     docs: DataFrame,
     items: DataFrame,
@@ -258,10 +266,13 @@ def scan(
     window: int = WINDOW,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """Documents with ``_bench_n_words``, hit word runs ``[from, to, ...]`` and the items that occur."""
-    for automaton in automata(items, window=window, block_tokens=block_tokens):
-        docs = _pass(docs, text, automaton)
-    return docs
+    """Documents with ``_bench_n_words``, hit word runs ``[from, to, ...]`` and the items that occur.
+
+    Columns of ``docs`` with one of these names are replaced.
+    """
+    found = _scanned(docs, items, text, window, block_tokens)
+    added = [f.name for f in ADDED]
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
 
 
 def n_hit() -> Column:
@@ -282,23 +293,22 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, *, window: int = WINDOW, coverage_part: int = COVERAGE_PART
 ) -> DataFrame:
     """The documents below the coverage limit, unchanged."""
-    scanned = scan(docs, items, window=window)
-    return scanned.where(~contaminated(coverage_part)).select(*[f"`{c}`" for c in docs.columns])
+    return _scanned(docs, items, "text", window).where(~contaminated(coverage_part)).select("row.*")
 
 
 def cut_spans(
     docs: DataFrame, items: DataFrame, *, text: str = "text", window: int = WINDOW, longer_than: int = 0
 ) -> DataFrame:
     """All documents, without hit runs of more than ``longer_than`` words; the rest of a text stays."""
-    scanned = scan(docs, items, text=text, window=window)
-    schema = docs.schema
+    scanned = _scanned(docs, items, text, window).select("row", "text", "_bench_runs")
+    schema = T.StructType([scanned.schema["row"], T.StructField("text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in B.pieces(batch, text):
-                data, at = B.raw(piece.column(text))
+            for piece in B.pieces(batch, "text"):
+                data, at = B.raw(piece.column("text"))
                 starts, ends, first, _ = B.words(B.LOWER[data], at, B.ALNUM)
-                whole, texts = data.tobytes(), piece.column(text).to_pylist()
+                whole, texts = data.tobytes(), piece.column("text").to_pylist()
                 for i, runs in enumerate(piece.column("_bench_runs").to_pylist()):
                     long = [(a, b) for a, b in zip(runs[::2], runs[1::2], strict=True) if b - a > longer_than]
                     if not long:
@@ -308,10 +318,7 @@ def cut_spans(
                         kept.append(whole[here : starts[first[i] + a]])
                         here = ends[first[i] + b - 1]
                     texts[i] = b"".join([*kept, whole[here : at[i + 1]]]).decode()
-                columns = [
-                    pa.array(texts, pa.string()) if f.name == text else piece.column(f.name)
-                    for f in schema.fields
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(texts, pa.string())], names=schema.names)
 
-    return scanned.mapInArrow(cut, schema)
+    done = scanned.mapInArrow(cut, schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

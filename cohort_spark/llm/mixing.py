@@ -6,7 +6,7 @@ is emitted ``floor(rate)`` times plus once more with the rest of the rate as pro
 Defined cases: a null or empty text has size 0 and is never repeated more than its source's rate says;
 a null source is a source of its own, last in order; a source of size 0 has target 0 and rate 0; rows
 with the same ``doc_id`` are separate documents that share a draw; an empty table mixes to an empty
-one. Further columns pass through; columns named like an internal one are safe (``_mix_`` prefix).
+one. Further columns pass through ``mix`` under any name; ``with_copies`` adds columns that start with ``_mix_``.
 """
 
 from __future__ import annotations
@@ -108,9 +108,7 @@ def mix(
     """The mixed corpus: the columns of ``docs``, each row as often as its rate and draw say."""
     sizes = docs.select("source", size_of(F.col("text")).alias("size"))
     table = targets(sizes, weights=weights, most=most)
-    chosen = with_copies(docs, table, seed=seed).where("_mix_copies > 0")
-    repeated = chosen.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_one"),
-    )
-    return repeated.drop("_mix_one")
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    chosen = with_copies(rows, table, seed=seed).where("_mix_copies > 0")
+    one = F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int"))).alias("one")
+    return chosen.select("row", one).select("row.*")

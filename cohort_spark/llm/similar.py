@@ -318,13 +318,18 @@ def join_similar(
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``: of each component the row of its smallest ``doc_id``; rows without words stay."""
-    joined = durable(join_similar(docs, **options))
+    """The columns of ``docs``, under any name: of each component the row of its smallest ``doc_id``.
+
+    Of rows with one ``doc_id`` and one text, one stays. Rows without words are linked with nothing, so
+    all of them stay, repeated ones too.
+    """
+    joined = durable(join_similar(docs.select("doc_id", "text"), **options))
     best = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"))
     linked = joined.where("n_shingles > 0").groupBy("root").agg(F.min(best).alias("k"))
-    kept = linked.select(F.col("k.doc_id").alias("_sim_id"), F.col("k.tie").alias("_sim_tie"))
-    empty = joined.where("n_shingles = 0").select(F.col("doc_id").alias("_sim_id"), F.col("tie").alias("_sim_tie")).distinct()
-    keyed = docs.withColumn("_sim_own", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(F.col("_sim_id")) & (F.col("_sim_own") == F.col("_sim_tie"))
-    chosen = keyed.join(kept.union(empty).distinct(), on).dropDuplicates(["doc_id", "_sim_own"])
-    return chosen.select(*[f"`{c}`" for c in docs.columns])
+    kept = linked.select(F.col("k.doc_id").alias("kept_id"), F.col("k.tie").alias("kept_tie"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).select(row, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_tie"))
+    on = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_tie") == F.col("kept_tie"))
+    chosen = keyed.join(kept.distinct(), on).dropDuplicates(["own_id", "own_tie"]).select("row.*")
+    return chosen.unionByName(docs.where(~worded))

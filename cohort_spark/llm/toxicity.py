@@ -9,7 +9,7 @@ at most ``VOCABULARY`` words of them; every document is judged over its whole te
 
 Words are runs of letters, digits and non-ASCII characters in lower case, so capitals and attached
 symbols hide nothing. Defined cases: a null or empty text gets the probabilities of no words; rows
-with the same ``doc_id`` are judged one by one, and the first of a repeated label counts; null labels are left out; without
+with the same ``doc_id`` are judged one by one, and of repeated labels each flag counts if any row has it; null labels are left out; without
 labels, or with one class only, a category has its smoothed share as probability everywhere; an
 empty table gives an empty one. Columns pass through; the added ones start with ``_tox_``.
 """
