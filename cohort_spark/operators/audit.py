@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohort_spark.core import ContractError, is_missing, require_columns
+from cohort_spark.core import ContractError, durable, is_missing, require_columns
 from cohort_spark.functions.series import path_depth
 
 # Header columns whose value counts are reported (fixed values).
@@ -166,21 +166,58 @@ def ordering_reliability(
     )
 
 
+TOTAL_IDS = {
+    "study_count": "StudyInstanceUID",
+    "series_count": "SeriesInstanceUID",
+    "sop_count": "SOPInstanceUID",
+    "patient_count_if_recoverable": "PatientID",
+}
+
+
 def totals(df: DataFrame, *, approximate: bool = False) -> DataFrame:
-    """Rows and distinct identifiers of the header table; the patient count is null without any id."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-
-    def number(column: str) -> Column:
-        return distinct(column) if column in df.columns else F.lit(None).cast("bigint")
-
-    patients = F.when(F.count("PatientID") > 0, number("PatientID")) if "PatientID" in df.columns else number("PatientID")
-    return df.agg(
-        F.count("*").alias("dicom_count"),
-        number("StudyInstanceUID").alias("study_count"),
-        number("SeriesInstanceUID").alias("series_count"),
-        number("SOPInstanceUID").alias("sop_count"),
-        patients.alias("patient_count_if_recoverable"),
+    """Rows and distinct identifiers of the header table; the patient count is null without any id.
+
+    Study, series and patient are counted on their distinct combinations, of which there are few, and
+    files on their own: no row is copied per identifier. ``approximate`` unites sketches instead.
+    """
+    if approximate:
+        return united_totals(total_sketches(df))
+    present = {n: c for n, c in TOTAL_IDS.items() if c in df.columns}
+    coarse = [c for n, c in present.items() if n != "sop_count"]
+    combined = durable(df.groupBy(*coarse).agg(F.count("*").alias("_rows")))
+    counts = {"dicom_count": combined.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint"))}
+    for name, column in TOTAL_IDS.items():
+        if column not in df.columns:
+            continue
+        source = df if name == "sop_count" else combined
+        counts[name] = source.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).alias("one")).agg(F.count("*"))
+    out = df.sparkSession.range(1).select(
+        *[counts[n].scalar().alias(n) if n in counts else F.lit(None).cast("bigint").alias(n) for n in ("dicom_count", *TOTAL_IDS)]
     )
+    patients = F.nullif("patient_count_if_recoverable", F.lit(0))
+    return out.withColumn("patient_count_if_recoverable", patients)
+
+
+def total_sketches(df: DataFrame, parts: Sequence[str] = (), *, precision: int = 14) -> DataFrame:
+    """Per part, its rows and one mergeable sketch of the values of each identifier.
+
+    Stored sketches of finished parts are united with those of new ones, so old parts are not read again.
+    """
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(precision)).alias(n) for n, c in TOTAL_IDS.items() if c in df.columns]
+    return df.groupBy(*parts).agg(F.count("*").alias("dicom_count"), *sketches)
+
+
+def united_totals(sketches: DataFrame) -> DataFrame:
+    """Totals from the sketches of any parts; relative error about 1 / sqrt(2^precision)."""
+
+    def number(name: str) -> Column:
+        if name not in sketches.columns:
+            return F.lit(None).cast("bigint")
+        estimate = F.hll_sketch_estimate(F.hll_union_agg(name))
+        return F.nullif(estimate, F.lit(0)) if name == "patient_count_if_recoverable" else F.coalesce(estimate, F.lit(0))
+
+    rows = F.coalesce(F.sum("dicom_count"), F.lit(0)).cast("bigint").alias("dicom_count")
+    return sketches.agg(rows, *[number(n).alias(n) for n in TOTAL_IDS])
 
 
 def path_depths(df: DataFrame, path: str = "dicom_path") -> DataFrame:
@@ -359,26 +396,15 @@ def entity_counts(df: DataFrame, entities: Mapping[str, str | None]) -> DataFram
     return df.agg(*counted)
 
 
-def _as_json(df: DataFrame, *, single: bool = False) -> Column | str:
-    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    if single:
-        return df.select(row.alias("body"))
-    return df.agg(
-        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(row)), ","), F.lit("]")).alias(
-            "body"
-        )
-    )
-
-
 def assemble_audit(spark: SparkSession, nodes: Mapping[str, DataFrame]) -> DataFrame:
-    """``node, body`` rows: every node of an audit as one JSON list.
+    """``node, body`` rows: every row of every node as JSON, and one row without body per node.
 
-    Nodes are audits, whose rows are columns, targets, sizes or distinct attribute values.
+    Nodes may have any number of rows; nothing is collected into a list.
     """
-    parts = [_as_json(df).select(F.lit(name).alias("node"), "body") for name, df in nodes.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = spark.createDataFrame([(name, None) for name in nodes], "node string, body string")
+    for name, df in nodes.items():
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+        out = out.unionByName(df.select(F.lit(name).alias("node"), row.alias("body")))
     return out
 
 

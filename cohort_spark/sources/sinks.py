@@ -32,18 +32,30 @@ def write_ledger(failures: DataFrame, path: str) -> None:
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
-    """An assembled audit (``node, body``) as one JSON document; NaN and infinities are refused."""
-    document = audit.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("node", "body")))).alias("nodes"),
-        F.count_if(F.col("body").rlike(r"[:,\[]\"?-?(NaN|Infinity)\"?[,\]}]")).alias("bad"),
-    ).first()
-    if document.bad:
-        raise ContractError("an audit may not hold NaN or infinite numbers")
-    rows = ",\n".join(f'  "{name}": {body}' for name, body in sorted(document.nodes.items()))
-    spark = audit.sparkSession
-    spark.createDataFrame([("{\n" + rows + "\n}",)], "value string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(path)
+    """An assembled audit (``node, body`` rows) as one JSON document; NaN and infinities are refused.
+
+    Every row is a line. The lines are range-sorted by node and body, so the files in name order are the
+    document, and neither a task nor the driver holds a node.
+    """
+    bad = F.col("body").rlike(r"[:,\[]\"?-?(NaN|Infinity)\"?[,\]}]")
+    refused = F.raise_error(F.lit("an audit may not hold NaN or infinite numbers")).cast("string")
+    rows = audit.select("node", F.when(bad, refused).otherwise(F.col("body")).alias("body")).groupBy("node", "body").agg(F.count("*").alias("n"))
+    # The first row of a node stands in its opening line; all others begin with a comma.
+    opening = rows.groupBy("node").agg(F.min("body").alias("first"))
+    start = rows.agg(F.min("node")).scalar()
+    comma = F.when(F.col("node") == start, F.lit("")).otherwise(F.lit(","))
+    quoted = F.to_json(F.array("node"))
+    name = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    opened = F.concat(comma, name, F.lit(": ["), F.coalesce("first", F.lit("")))
+    heads = opening.select("node", F.lit(1).alias("step"), F.lit("").alias("at"), opened.alias("value"))
+    is_first = F.col("body") == F.col("first")
+    joined = rows.where("body IS NOT NULL").join(opening, "node").withColumn("n", F.col("n") - is_first.cast("bigint")).where("n > 0")
+    repeated = F.explode(F.array_repeat(F.concat(F.lit(","), F.col("body")), F.col("n").cast("int"))).alias("value")
+    others = joined.select("node", F.lit(2).alias("step"), F.col("body").alias("at"), repeated)
+    ends = opening.select("node", F.lit(3).alias("step"), F.lit("").alias("at"), F.lit("]").alias("value"))
+    edges = audit.sparkSession.createDataFrame([("", 0, "", "{"), ("\U0010ffff", 4, "", "}")], "node string, step int, at string, value string")
+    lines = edges.unionByName(heads).unionByName(others).unionByName(ends)
+    lines.orderBy("node", "step", "at").select("value").write.mode("overwrite").text(path)
 
 
 def write_delivery(delivered: DataFrame, path: str, *, position: str = "position") -> None:

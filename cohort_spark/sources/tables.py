@@ -80,7 +80,10 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file; meant for artifacts, each of which fits in a task."""
+    """SHA-256 of every file; meant for artifacts, each of which fits in a task.
+
+    Spark's readers pass over files without bytes, so those have no row.
+    """
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.sha2("content", 256).alias("digest"))
 

@@ -501,16 +501,15 @@ def identifier_profile(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT) AS duplicate_rows FROM lineitem"""
+    """SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows FROM lineitem"""
 )
 def duplicate_rows(spark, sf_dir):
-    table = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return A.duplicate_rows(table)
+    return A.duplicate_rows(load(spark, sf_dir, "lineitem"))
 
 
 @query()
 def table_audit(spark, sf_dir):
-    train = load(spark, sf_dir, "train").drop("PatientSex")
+    train = load(spark, sf_dir, "train")
     sample = train.select(ID, *[F.lit(0.5).alias(t) for t in TARGETS])
     return A.table_audit(train, sample)
 

@@ -71,7 +71,7 @@ def normalize_text(spark, sf_dir):
         "reports",
         "WITH " + parsed_sql("reports")
         + """ SELECT doc_id, CAST(i AS INT) AS place, secs[i + 1].name AS name, md5(secs[i + 1].text) AS digest
-        FROM se, range(10) r(i) WHERE i < len(secs)""",
+        FROM (SELECT doc_id, secs, unnest(range(len(secs))) AS i FROM se)""",
     )
 )
 def sections(spark, sf_dir):

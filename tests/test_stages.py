@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort_spark.core import ContractError
+from cohort_spark.operators import audit as A
+from cohort_spark.operators import features, metrics
 from cohort_spark.plans import stages
 from cohort_spark.sources import records as R
 from cohort_spark.sources import sinks, tables, units
@@ -91,3 +94,54 @@ def test_stream_resumes_with_new_files_only(spark, tmp_path):
     rows.withColumn("path", F.concat("path", F.lit("2"))).coalesce(1).write.mode("append").parquet(str(source))
     assert tuple(run()) == (4, 2, 2)
     assert spark.read.parquet(options["output"]).count() == 2
+
+
+def test_audit_document_has_every_row(spark, tmp_path):
+    """Many rows, repeated rows, an empty node and a name that needs quoting; NaN is refused."""
+    nodes = {
+        "many": spark.range(3000).selectExpr("id", "cast(null AS string) AS x"),
+        "empty": spark.range(0).toDF("a"),
+        'odd "name"': spark.createDataFrame([(1,), (1,), (2,)], "a int"),
+        "text": spark.createDataFrame([("a,\n]\"",)], "t string"),
+    }
+    audit = A.assemble_audit(spark, nodes)
+    sinks.write_audit(audit, str(tmp_path / "audit"))
+    document = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "audit")).collect()))
+    assert set(document) == set(nodes)
+    assert sorted(r["id"] for r in document["many"]) == list(range(3000)) and document["many"][0]["x"] is None
+    assert document["empty"] == [] and document['odd "name"'] == [{"a": 1}, {"a": 1}, {"a": 2}] and document["text"] == [{"t": "a,\n]\""}]
+    broken = A.assemble_audit(spark, {"x": spark.createDataFrame([(float("nan"),)], "v double")})
+    with pytest.raises(Exception, match="NaN"):
+        sinks.write_audit(broken, str(tmp_path / "broken"))
+
+
+def test_totals_and_sketches_of_parts(spark):
+    rows = spark.range(5000).selectExpr(
+        "concat('p', id % 40) AS PatientID", "concat('t', id % 300) AS StudyInstanceUID", "concat('e', id % 900) AS SeriesInstanceUID",
+        "if(id % 10 = 0, null, concat('o', id % 4000)) AS SOPInstanceUID", "id % 7 AS part",
+    )
+    exact = A.totals(rows).first().asDict()
+    assert exact == {"dicom_count": 5000, "study_count": 300, "series_count": 900, "sop_count": 3600, "patient_count_if_recoverable": 40}
+    united = A.united_totals(A.total_sketches(rows, ["part"])).first().asDict()
+    whole = A.totals(rows, approximate=True).first().asDict()
+    for found in (united, whole):
+        assert found["dicom_count"] == 5000
+        assert all(abs(found[k] - exact[k]) <= 0.02 * exact[k] for k in exact)
+    none = A.totals(rows.limit(0).drop("PatientID")).first().asDict()
+    assert none == {"dicom_count": 0, "study_count": 0, "series_count": 0, "sop_count": 0, "patient_count_if_recoverable": None}
+    assert A.totals(rows.withColumn("PatientID", F.lit(None).cast("string"))).first()["patient_count_if_recoverable"] is None
+
+
+def test_fingerprints_promotion_and_placeholders(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    for name, body in (("a.bin", b"abc"), ("b.bin", bytes(3)), ("none.bin", b"")):
+        (tmp_path / "files" / name).write_bytes(body)
+    found = {r.path.rsplit("/", 1)[-1]: r.digest for r in tables.fingerprint_files(spark, str(tmp_path / "files")).collect()}
+    assert found == {"a.bin": hashlib.sha256(b"abc").hexdigest(), "b.bin": hashlib.sha256(bytes(3)).hexdigest()}
+    scores = spark.createDataFrame([("a", 0.5), ("b", 0.75), ("c", 0.75), ("d", None)], "experiment string, macro_auc double")
+    rows = spark.createDataFrame([("a", 1), ("c", 2), ("c", 3)], "experiment string, v int")
+    sinks.promote(metrics.leaderboard(scores), rows, str(tmp_path / "best"))
+    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "best")).collect()) == [2, 3]
+    reports = spark.createDataFrame([("s1", ["one.", "two."]), ("s2", []), ("s3", None)], "StudyInstanceUID string, sentences array<string>")
+    encoded = features.with_placeholder(reports)
+    assert sorted(tuple(r) for r in encoded.collect()) == [("s1", "one."), ("s1", "two."), ("s2", "No report text."), ("s3", "No report text.")]
