@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohort_spark.core import durable, to_long
+from cohort_spark.functions.geometry import projected_coordinate
 from cohort_spark.functions.lexicon import KNEE, Lexicon
 from cohort_spark.functions.probability import blend
 from cohort_spark.operators import audit as A
@@ -24,6 +25,7 @@ from cohort_spark.operators import folds as K
 from cohort_spark.operators import labels as L
 from cohort_spark.operators import manifest as M
 from cohort_spark.operators import metrics as S
+from cohort_spark.sources.headers import read_ordering_headers
 
 ID = "StudyInstanceUID"
 
@@ -50,6 +52,24 @@ def inference_stage(slices: DataFrame, failures: DataFrame | None = None) -> dic
     return {"manifest": ordered, "audit": M.manifest_audit(ordered, failures)}
 
 
+def file_stage(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Ordered series of image files under ``study/series/file``, read by their leading bytes.
+
+    Files that cannot be read keep their place in the path order and are counted as failures.
+    """
+    headers = durable(read_ordering_headers(spark, root))
+    folders = F.split("path", "/")
+    slices = headers.select(
+        F.try_element_at(folders, F.lit(-3)).alias("StudyInstanceUID"),
+        F.try_element_at(folders, F.lit(-2)).alias("SeriesInstanceUID"),
+        F.col("path").alias("dicom_path"),
+        projected_coordinate(F.col("ImageOrientationPatient"), F.col("ImagePositionPatient")).alias("SpatialSliceCoordinate"),
+        "InstanceNumber",
+    )
+    failures = headers.where("error_type IS NOT NULL").select("path", "error_type", "error")
+    return {**inference_stage(slices, failures), "failures": failures}
+
+
 def selection_stage(manifest: DataFrame, **sampling: object) -> dict[str, DataFrame]:
     """Series chosen per study and the slices to sample from them."""
     chosen = M.select_per_category(M.score_children(manifest))

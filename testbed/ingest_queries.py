@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort_spark.core import checkpoint_root, durable
+from cohort_spark.functions.geometry import projected_coordinate
+from cohort_spark.sources import headers as H
 from cohort_spark.sources import records as R
 from cohort_spark.sources import tables as S
 from cohort_spark.sources import units as U
 from cohort_spark.streaming import ingest as I
 from cohort_spark.streaming.status import group_status, state_store
+from testbed.image_files import image_file
 from testbed.registry import query
 from testbed.views import load, with_views
 
@@ -241,3 +244,34 @@ def stream_series_status(spark, sf_dir):
             )
             running.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("l_orderkey", "status", "found", "expected")
+
+
+@query(
+    """SELECT s_suppkey AS file, CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE CAST(s_nationkey AS BIGINT) END AS number,
+    CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE CAST(s_suppkey * 0.5 AS DOUBLE) END AS coordinate, s_suppkey % 10 NOT IN (3, 7) AS readable FROM supplier"""
+)
+def ordering_headers(spark, sf_dir):
+    """One image file per supplier, some broken and some empty, read back by their leading bytes."""
+    root = f"{checkpoint_root(spark)}/images-{uuid.uuid4().hex}"
+    uri = root if "://" in root else f"file://{root.removeprefix('file:')}"
+
+    def save(rows):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(uri)
+        system.create_dir(folder, recursive=True)
+        for r in rows:
+            body = image_file(r.s_nationkey, [0.0, 0.0, r.s_suppkey * 0.5], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], padding=r.s_suppkey * 100)
+            body = {3: body[:150], 7: b""}.get(r.s_suppkey % 10, body)
+            with system.open_output_stream(f"{folder}/{r.s_suppkey}.dcm") as out:
+                out.write(body)
+
+    load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").foreachPartition(save)
+    headers = H.read_ordering_headers(spark, uri)
+    coordinate = projected_coordinate(F.col("ImageOrientationPatient"), F.col("ImagePositionPatient"))
+    return headers.select(
+        F.regexp_extract("path", r"(\d+)\.dcm$", 1).cast("bigint").alias("file"),
+        F.col("InstanceNumber").alias("number"),
+        coordinate.alias("coordinate"),
+        F.col("error_type").isNull().alias("readable"),
+    )

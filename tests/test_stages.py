@@ -13,7 +13,9 @@ from cohort_spark.operators import features, metrics
 from cohort_spark.plans import stages
 from cohort_spark.sources import records as R
 from cohort_spark.sources import sinks, tables, units
+from cohort_spark.sources.headers import header_failures, read_ordering_headers
 from cohort_spark.streaming import ingest
+from testbed.image_files import image_file
 from testbed.views import load
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +147,31 @@ def test_fingerprints_promotion_and_placeholders(spark, tmp_path):
     reports = spark.createDataFrame([("s1", ["one.", "two."]), ("s2", []), ("s3", None)], "StudyInstanceUID string, sentences array<string>")
     encoded = features.with_placeholder(reports)
     assert sorted(tuple(r) for r in encoded.collect()) == [("s1", "one."), ("s1", "two."), ("s2", "No report text."), ("s3", "No report text.")]
+
+
+def test_ordering_headers_of_files(spark, tmp_path):
+    """All syntaxes, long headers, files without tags, and files that are none."""
+    axial = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    good = {
+        "study/series/a.dcm": image_file(3, [0.0, 0.0, 7.5], axial),
+        "study/series/b": image_file(2, [1.0, 2.0, 3.5], axial, padding=200_000),
+        "study/series/c.dcm": image_file(1, None, None, syntax="1.2.840.10008.1.2"),
+        "study/other/d.dcm": image_file(None, [0.0, 0.0, -1.0], axial, syntax="1.2.840.10008.1.2.2"),
+        "study/other/e.dcm": image_file(9, [0.0, 0.0, 1.0], axial)[:-4108],
+    }
+    bad = {"study/other/empty.dcm": b"", "study/other/text.txt": b"no image" * 99, "study/other/cut.dcm": image_file(1, [0.0] * 3, axial)[:200], "study/other/odd.dcm": image_file(1, None, None)[:170] + bytes(300)}
+    for name, body in {**good, **bad}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    headers = read_ordering_headers(spark, str(tmp_path), leading_bytes=512, files_per_partition=2)
+    rows = {r.path: r for r in headers.collect()}
+    assert set(rows) == {*good, *bad}
+    assert {p for p, r in rows.items() if r.error_type} == set(bad)
+    assert rows["study/series/a.dcm"].ImagePositionPatient == [0.0, 0.0, 7.5] and rows["study/series/b"].InstanceNumber == 2
+    assert rows["study/series/c.dcm"].ImagePositionPatient is None and rows["study/series/c.dcm"].InstanceNumber == 1
+    assert rows["study/other/d.dcm"].ImageOrientationPatient == axial and rows["study/other/e.dcm"].InstanceNumber == 9
+    assert header_failures(headers).first().asDict() == {"discovered": 9, "readable": 5, "failed": 4}
+    out = stages.file_stage(spark, str(tmp_path))
+    ordered = {r.SeriesInstanceUID: r for r in out["manifest"].collect()}
+    assert [p.rsplit("/", 1)[-1] for p in ordered["series"].ordered_dicom_paths] == ["c.dcm", "b", "a.dcm"]
+    assert out["failures"].count() == 4
