@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohort_spark.functions import text as X
-from cohort_spark.functions.lexicon import Lexicon
+from cohort_spark.functions.lexicon import KNEE, Lexicon
 from cohort_spark.operators import cohort as C
 from cohort_spark.operators import labels as L
 from cohort_spark.sources.tables import spread
@@ -16,7 +16,7 @@ from testbed.views import with_views
 def load(spark, sf_dir, name):
     """A view; documents come in one row group, so text work is dealt out to all cores."""
     df = load_view(spark, sf_dir, name)
-    return spread(df) if name in {"documents", "reports"} else df
+    return spread(df) if name in {"documents", "reports", "knee_reports"} else df
 
 
 # The tables hold invented prose without clinical words, so the lexicon uses words that occur.
@@ -146,25 +146,29 @@ def detect_language(spark, sf_dir):
     )
 
 
-def _cases(kind):
-    table = LEXICON.markers(kind)
-    arms = " ".join(
-        f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in table.items() if k != "unknown"
-    )
-    return f"CASE language {arms} ELSE [" + ", ".join(f"'{w}'" for w in table["unknown"]) + "] END"
+def quoted(text):
+    return "'" + text.replace("'", "''") + "'"
 
 
-TERMS_SQL = ", ".join(
-    f"('{target}', '{term}', {str(target in LEXICON.needs_marker).lower()})"
-    for target, terms in LEXICON.terms.items()
-    for term in terms
-)
+def _cases(lexicon, kind):
+    table = lexicon.markers(kind)
+    words = lambda v: "[" + ", ".join(map(quoted, v)) + "]"
+    arms = " ".join(f"WHEN '{k}' THEN {words(v)}" for k, v in table.items() if k != "unknown")
+    return f"CASE language {arms} ELSE {words(table['unknown'])} END"
 
-EVIDENCE_SQL = parsed_sql("documents") + "," + language_sql("nt", "norm", "doc_id") + rf""",
-ml AS (SELECT k, language, confidence, script, {_cases("negation")} AS neg, {_cases("uncertainty")} AS unc, {_cases("pathology")} AS pat FROM lg),
-st AS (SELECT doc_id, i AS position, sents[i + 1] AS sentence, replace(lower(sents[i + 1]), 'ß', 'ss') AS folded
+
+def evidence_sql(lexicon, source):
+    terms = ", ".join(
+        f"({quoted(target)}, {quoted(term.casefold())}, {str(target in lexicon.needs_marker).lower()})"
+        for target, terms in lexicon.terms.items()
+        for term in terms
+    )
+    cases = {k: _cases(lexicon, k) for k in ("negation", "uncertainty", "pathology")}
+    return parsed_sql(source) + "," + language_sql("nt", "norm", "doc_id") + rf""",
+ml AS (SELECT k, language, confidence, script, {cases["negation"]} AS neg, {cases["uncertainty"]} AS unc, {cases["pathology"]} AS pat FROM lg),
+st AS (SELECT doc_id, i AS position, sents[i + 1] AS sentence, replace(replace(lower(sents[i + 1]), 'ß', 'ss'), 'ς', 'σ') AS folded
    FROM (SELECT doc_id, sents, unnest(range(len(sents))) AS i FROM se)),
-tm(target, term, needs_marker) AS (VALUES {TERMS_SQL}),
+tm(target, term, needs_marker) AS (VALUES {terms}),
 oc AS (SELECT doc_id, position, sentence, folded, target, term, needs_marker, string_split(folded, term) AS pieces
    FROM st JOIN tm ON contains(folded, term)),
 mt AS (SELECT *, unnest(range(1, len(pieces))) AS j FROM oc),
@@ -181,6 +185,9 @@ ev AS (SELECT doc_id, target, term, position, sentence, CASE
 """
 
 
+EVIDENCE_SQL = evidence_sql(LEXICON, "documents")
+
+
 def matched(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     detected = L.with_language(L.parse_reports(docs, "text"), "normalized_text", is_composed=True)
@@ -202,12 +209,14 @@ def lexicon_matches(spark, sf_dir):
     return found.groupBy("doc_id", "target", "term", "position", "status").agg(F.count("*").alias("n"))
 
 
-LABELS_SQL = EVIDENCE_SQL + """,
-tg(target) AS (VALUES ('article'), ('relation'), ('phrase')),
+def labels_sql(lexicon, source):
+    named = ", ".join(f"({quoted(t)})" for t in lexicon.targets)
+    return evidence_sql(lexicon, source) + f""",
+tg(target) AS (VALUES {named}),
 fl AS (SELECT doc_id, target, bool_or(status = 'positive') AS p, bool_or(status = 'uncertain') AS u, bool_or(status = 'negative') AS n FROM ev GROUP BY 1, 2),
 vd AS (SELECT d.doc_id, tg.target, CASE WHEN p THEN 'positive' WHEN u THEN 'uncertain' WHEN n THEN 'negative'
    WHEN p IS NOT NULL THEN 'mentioned_without_status' ELSE 'not_mentioned' END AS weak_status
-   FROM documents d CROSS JOIN tg LEFT JOIN fl ON d.doc_id = fl.doc_id AND tg.target = fl.target),
+   FROM {source} d CROSS JOIN tg LEFT JOIN fl ON d.doc_id = fl.doc_id AND tg.target = fl.target),
 ef AS (SELECT v.doc_id, v.target, e.sentence, min(position) AS position FROM vd v JOIN ev e ON v.doc_id = e.doc_id AND v.target = e.target
    WHERE e.status = v.weak_status OR v.weak_status = 'mentioned_without_status' GROUP BY 1, 2, 3),
 eg AS (SELECT doc_id, target, md5(string_agg(sentence, '|' ORDER BY position)) AS evidence FROM ef GROUP BY 1, 2),
@@ -220,6 +229,9 @@ wl AS (SELECT v.doc_id, v.target, weak_status, language,
 """
 
 
+LABELS_SQL = labels_sql(LEXICON, "documents")
+
+
 @query(
     "WITH " + LABELS_SQL.strip()
     + " SELECT doc_id, target, language, weak_status, weak_probability, weak_label, weak_confidence, evidence FROM wl"
@@ -240,6 +252,20 @@ def weak_labels(spark, sf_dir):
     )
 
 
+@query(
+    with_views(
+        "knee_reports",
+        "WITH " + labels_sql(KNEE, "knee_reports").strip()
+        + " SELECT doc_id, target, language, weak_status, weak_probability, weak_label, weak_confidence, evidence FROM wl",
+    )
+)
+def default_labels(spark, sf_dir):
+    """The whole default lexicon, twelve targets, over texts with one of its terms each."""
+    labels = L.label_corpus(load(spark, sf_dir, "knee_reports"), text="text", keep=["doc_id"])
+    columns = ["doc_id", "target", "language", "weak_status", "weak_probability", "weak_label", "weak_confidence"]
+    return labels.select(*columns, F.md5(F.array_join("evidence", "|")).alias("evidence"))
+
+
 def labelled(spark, sf_dir):
     """Weak labels with gold: ``quality`` is the gold of ``article``, ``toxic`` of ``relation``."""
     weak = L.label_corpus(

@@ -10,12 +10,32 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohort_spark.functions.lexicon import TERMS
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+_TERMS = [term for terms in TERMS.values() for term in terms]
+_FORMS = ("{} tear of the knee and the joint", "no {} in the knee joint and the rest", "the {} of the knee is intact and the joint", "possible {} of the knee and the joint",
+    "{} of the knee and the joint, findings", "sin {} de la rodilla, hallazgos", "{} rupture; {} again, the knee and the joint", "knee{} and joint, the findings of the knee")
+
+
+def _clinical(number: str) -> str:
+    """A sentence with one of the default terms, by number, in one of some forms."""
+    plain = lambda text: "concat('" + text.replace("'", "', chr(39), '") + "', '')"
+    terms = " ".join(f"WHEN {i} THEN {plain(t)}" for i, t in enumerate(_TERMS))
+    forms = " ".join(f"WHEN {i} THEN '{f.replace('{}', '%')}'" for i, f in enumerate(_FORMS))
+    term = f"CASE {number} % {len(_TERMS)} {terms} END"
+    form = f"CASE CAST(floor({number} / {len(_TERMS)}) AS BIGINT) % {len(_FORMS)} {forms} END"
+    return f"replace({form}, '%', {term})"
+
+
 VIEWS: dict[str, str] = {
+    # Texts of one line, each with a sentence that has a term of the default lexicon.
+    "knee_reports": f"""
+        SELECT doc_id, lang, source, concat(coalesce(text, ''), chr(10), {_clinical("doc_id")}, '.') AS text FROM documents""",
     # One row per file header.
     "slices": """
         SELECT concat('study-', CAST(o_custkey AS STRING)) AS StudyInstanceUID,
