@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import re
 from collections.abc import Iterator, Mapping
 from datetime import date, timedelta
 
@@ -112,7 +113,13 @@ _STREET = regex.compile(
     r"|(?<![\p{L}\d])(?P<n>\d{1,4}),?[ ](?:rue|avenue|boulevard|place|chemin)[ ](?:(?:de|du|des|la|le|les)[ ]|l['’]|d['’])*(?P<s>\p{Lu}[\p{L}-]+)"
     r"|(?<![\p{L}])(?i:calle|avenida|plaza|paseo)[ ](?:(?:de|del|la|las|los|el)[ ])*(?P<s>\p{Lu}[\p{L}-]+)[ ,]+(?P<n>\d{1,4})(?!\d)"
 )
-_STREET_WORDS = (*(w.lower() for w in _STREETS.split("|")), "straße", "strasse", "gasse", "weg ", "platz", "allee", "rue ", "place ", "chemin ", "calle ", "avenida ", "plaza ", "paseo ")
+_STREET_SHORT = (" St", " Ave", " Rd", " Ln")
+_STREET_WORDS = (
+    " street", " avenue", " road", " lane", " drive", " boulevard", " court", " square", " terrace", " crescent", " blvd", "straße", "strasse", "gasse ", "weg ", "platz ", "allee ",
+    "rue ", "place ", "chemin ", "calle ", "avenida ", "plaza ", "paseo ",
+)
+_PASSPORTS = ("passport", "reisepass", "passeport", "pasaporte")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _IBAN = regex.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IPV6 = regex.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
 
@@ -173,32 +180,45 @@ def _day(said: str) -> date | None:
         return None
 
 
-def _personal(text: str) -> Iterator[Found]:
+def _personal(text: str, lowered: str) -> Iterator[Found]:
     """Accounts, addresses of version 6, passports, dates of birth and streets; each is looked for where a sign of it is."""
     if text.count(":") > 1:
         for m in _IPV6.finditer(text):
             normal = _ipv6(m[0])
             if normal:
                 yield m.start(), m.end(), "ipv6", normal
-    for m in _IBAN.finditer(text):
-        normal = _account(m[0])
+    for start in _IBAN_START.finditer(text):
+        m = _IBAN.match(text, start.start())
+        normal = _account(m[0]) if m else None
         if normal:
             yield m.start(), m.end(), "iban", normal
-    lowered = text.lower()
-    if any(w in lowered for w in _BORN):
-        for m in _BIRTH.finditer(text):
-            day = _day(m["d"])
-            if day:
-                yield m.start("d"), m.end("d"), "birth", day.isoformat()
-    if any(w in lowered for w in ("passport", "reisepass", "passeport", "pasaporte")):
-        for m in _PASSPORT.finditer(text):
+    for at in _places(text, lowered, _BORN):
+        m = _BIRTH.match(text, at)
+        day = _day(m["d"]) if m else None
+        if day:
+            yield m.start("d"), m.end("d"), "birth", day.isoformat()
+    for at in _places(text, lowered, _PASSPORTS):
+        m = _PASSPORT.match(text, at)
+        if m:
             yield m.start("p"), m.end("p"), "passport", m["p"]
-    if any(w in lowered for w in _STREET_WORDS):
-        for m in _STREET.finditer(text):
+    for at in {*_places(text, lowered, _STREET_WORDS), *_places(text, text, _STREET_SHORT)}:
+        for m in _STREET.finditer(text, max(0, at - 60), at + 60):
             low, high = min(m.start("n"), m.start("s")), max(m.end("n"), m.end("s"))
             yield low, high, "street", f"{m['n']}|{m['s'].lower()}"
 
 
+def _places(text: str, lowered: str, words: tuple[str, ...]) -> Iterator[int]:
+    """Where a word stands in the text; ``lowered`` may be of another length, then by a slower way."""
+    if len(text) != len(lowered):
+        yield from (m.start() for w in words for m in regex.finditer(regex.escape(w), text, regex.IGNORECASE))
+        return
+    for word in words:
+        at = lowered.find(word)
+        while at >= 0:
+            yield at
+            at = lowered.find(word, at + 1)
+
+
 def _emails(text: str) -> Iterator[Found]:
     at = text.find("@")
     while at >= 0:
@@ -262,7 +282,7 @@ def _parts(kind: str, said: str, start: int, gender: str) -> Iterator[Found]:
         yield start + m.start(), start + m.end(), kind, normal
 
 
-def _names(text: str) -> list[Found]:
+def _names(text: str, lowered: str) -> list[Found]:
     found: list[Found] = []
     for m in _TITLED.finditer(text):
         gender = _GENDER[m[1].lower()]
@@ -273,17 +293,18 @@ def _names(text: str) -> list[Found]:
         if m[1].lower() in _KNOWN:
             found += _parts("given", m[1], m.start(1), "")
             found += _parts("family", m[2], m.start(2), "")
-    if any(w in text.lower() for w in _GREETINGS):
-        for m in _GREETED.finditer(text):
-            people = [m]
-            while (more := _JOINED.match(text, people[-1].end())) is not None:
-                people.append(more)
-            for p in people:
-                if p[2]:
-                    found += _parts("given", p[1], p.start(1), "")
-                    found += _parts("family", p[2], p.start(2), "")
-                elif p is m and p[1].lower() not in _GENDER:
-                    found += _parts("given", p[1], p.start(1), "")
+    for at in _places(text, lowered, _GREETINGS):
+        if at and text[at - 1].isalpha() or (m := _GREETED.match(text, at)) is None:
+            continue
+        people = [m]
+        while (more := _JOINED.match(text, people[-1].end())) is not None:
+            people.append(more)
+        for p in people:
+            if p[2]:
+                found += _parts("given", p[1], p.start(1), "")
+                found += _parts("family", p[2], p.start(2), "")
+            elif p is m and p[1].lower() not in _GENDER:
+                found += _parts("given", p[1], p.start(1), "")
     if not found:
         return found
     # The same parts on their own: family names first, then given names.
@@ -303,10 +324,11 @@ def entities(text: str | None) -> list[Found]:
     found: list[Found] = []
     if "@" in text:
         found += _emails(text)
-    found += _personal(text)
+    lowered = text.lower()
+    found += _personal(text, lowered)
     found += [n for n in _numbers(text) if not any(a < n[1] and n[0] < b for a, b, _, _ in found)]
     found += _announced(text, found)
-    found += _names(text)
+    found += _names(text, lowered)
     out: list[Found] = []
     for f in sorted(set(found), key=lambda f: (f[0], -f[1], f[2])):
         if not out or f[0] >= out[-1][1]:
