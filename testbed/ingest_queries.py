@@ -251,7 +251,11 @@ def stream_series_status(spark, sf_dir):
     CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE CAST(s_suppkey * 0.5 AS DOUBLE) END AS coordinate, s_suppkey % 10 NOT IN (3, 7) AS readable FROM supplier"""
 )
 def ordering_headers(spark, sf_dir):
-    """One image file per supplier, some broken and some empty, read back by their leading bytes."""
+    """One image file per supplier, some broken and some empty, read back by their leading bytes.
+
+    What stands before the tags repeats in length, up to more than the first bytes read, so that the
+    files grow in number only.
+    """
     root = f"{checkpoint_root(spark)}/images-{uuid.uuid4().hex}"
     uri = root if "://" in root else f"file://{root.removeprefix('file:')}"
 
@@ -261,7 +265,7 @@ def ordering_headers(spark, sf_dir):
         system, folder = fs.FileSystem.from_uri(uri)
         system.create_dir(folder, recursive=True)
         for r in rows:
-            body = image_file(r.s_nationkey, [0.0, 0.0, r.s_suppkey * 0.5], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], padding=r.s_suppkey * 100)
+            body = image_file(r.s_nationkey, [0.0, 0.0, r.s_suppkey * 0.5], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], padding=r.s_suppkey % 200 * 100)
             body = {3: body[:150], 7: b""}.get(r.s_suppkey % 10, body)
             with system.open_output_stream(f"{folder}/{r.s_suppkey}.dcm") as out:
                 out.write(body)
