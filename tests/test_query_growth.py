@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from pathlib import Path
 
+from cohort_spark.streaming import status as S
 from testbed import ingest_queries as Q
 
 
@@ -16,3 +18,36 @@ def test_image_files_do_not_grow_with_the_key(spark, tmp_path):
     assert found == {2_000_001: (1, 1_000_000.5, True), 2_000_003: (None, None, False), 2_000_007: (None, None, False), 2_000_199: (4, 1_000_099.5, True)}
     (folder,) = set(root.glob("images-*")) - before
     assert sum(f.stat().st_size for f in folder.glob("*.dcm")) < 100_000
+
+
+def test_groups_of_one_slot_are_settled_together(spark, tmp_path):
+    """Calls to Python follow the slots, not the groups; alarms of several groups meet in one timer."""
+    first = [("a", "1", 3, "2020-01-01"), ("a", "2", None, "2020-01-01"), ("b", "1", 2, "2020-01-01"), (None, "1", 1, "2020-01-01"), ("d", None, 2, "2020-01-02")]
+    first += [("e", "1", None, "2020-01-04"), ("null", "1", 2, "2020-01-04"), ('q"\\', "1", 1, "2020-01-04"), ("z", "1", 1, "2020-01-08T06:00:00")]
+    second = [("b", "2", 2, "2020-01-09"), ("a", "3", 3, "2020-01-09"), ("q\"\\", "2", 1, "2020-01-09"), ("y", "1", 1, "2020-02-10")]
+    schema, out = "g string, m string, n int, t timestamp", []
+    with S.state_store(spark):
+        for batch in (first, second):
+            rows = spark.createDataFrame(batch, "g string, m string, n int, t string").selectExpr("g", "m", "n", "cast(t AS timestamp) AS t")
+            rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            found = S.group_status(stream, group=["g"], member="m", expected="n", event_time="t", late="12 hours", wait=timedelta(days=3), keep=timedelta(days=60), slots=1)
+            query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+            out.append(sorted(((r.g, r.status, r.found, r.expected) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=repr))
+    at_first = [(None, "complete", 1, 1), ("a", "incomplete", 2, 3), ("b", "incomplete", 1, 2), ("d", "incomplete", 0, 2)]
+    at_first += [("e", "incomplete", 1, None), ("null", "incomplete", 1, 2), ('q"\\', "complete", 1, 1), ("z", "complete", 1, 1)]
+    assert out[0] == sorted(at_first, key=repr)
+    assert out[1] == sorted([*at_first, ("a", "late", 3, 3), ("b", "late", 2, 2), ("y", "complete", 1, 1)], key=repr)
+
+
+def test_status_keys_of_several_types_read_back(spark, tmp_path):
+    rows = spark.sql("SELECT 9007199254740993 AS k, date'2020-01-02' AS d, timestamp'2020-01-02 03:04:05.123456' AS s, 1.10BD AS c, cast('NaN' AS double) AS f, 'm' AS m, 1 AS n, timestamp'2020-01-01' AS t UNION ALL SELECT NULL, NULL, NULL, NULL, 0.1D, 'm', 1, timestamp'2020-01-01'")
+    rows.write.parquet(f"{tmp_path}/in")
+    keys = ["k", "d", "s", "c", "f"]
+    with S.state_store(spark):
+        found = S.group_status(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), group=keys, member="m", expected="n", event_time="t")
+        assert found.schema[:5].simpleString() == rows.select(*keys).schema.simpleString()
+        found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(repr, seen.select(*keys).collect())) == sorted(map(repr, rows.select(*keys).collect()))
