@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import timedelta
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from cohort_spark.functions import text as X
+from cohort_spark.operators import labels as L
 from cohort_spark.streaming import status as S
 from testbed import ingest_queries as Q
 
@@ -51,3 +56,17 @@ def test_status_keys_of_several_types_read_back(spark, tmp_path):
         found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     seen = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(repr, seen.select(*keys).collect())) == sorted(map(repr, rows.select(*keys).collect()))
+
+
+def test_scripts_and_tokens_of_any_text_without_matching_every_token(spark):
+    texts = ["", None, "The knee, and the joint.", "épanchement du genou: ªº K", "Колено и the ставa", "γόνατο ñ x²the ①de", "日本 ひらがな the", "ab1the2la_de", "𝔘the 𐐷 la"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    words = {w for t in (X.LATIN_MARKERS, X.CYRILLIC_MARKERS) for ws in t.values() for w in ws}
+    total = lambda t: sum(unicodedata.category(c)[0] == "L" for c in t)
+    profile = {r.k: r.n for r in L.script_profile(docs, "t", ["k"]).groupBy("k").agg(F.sum("letters").alias("n")).collect()}
+    assert profile == {i: total(t) for i, t in enumerate(texts) if t and total(t)}
+    runs = lambda t: "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) in ("No", "Nl") else " " for c in t).split()
+    found = {r.k: r.m for r in docs.where("t IS NOT NULL").select("k", X.marker_tokens(F.lower("t")).alias("m")).collect()}
+    assert {k: sorted(m) for k, m in found.items()} == {i: sorted(words & set(runs(t.lower()))) for i, t in enumerate(texts) if t is not None}
+    plan = L.with_language(docs, "t", is_composed=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
