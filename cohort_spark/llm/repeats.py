@@ -188,7 +188,8 @@ def _index(table: pa.Table) -> pa.Table:
     owners = np.concatenate([S.unpack(r["owners"], "<i8") for r in rows])
     data = np.concatenate([S.unpack(r["strings"], "u1") for r in rows])
     name, size = np.concatenate(names), np.concatenate(sizes)
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(name)
+    which, firsts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    windows = offset = which
     if len(name):
         ends = np.cumsum(size)
         strings = pa.Array.from_buffers(
@@ -203,47 +204,50 @@ def _index(table: pa.Table) -> pa.Table:
         own_name[which] = name
         own_size = np.zeros(len(different), np.int64)
         own_size[which] = size
-        answers = _by_name(different, own_name, own_size, first)
-        found = [answers[w] for w in which.tolist()]
+        firsts = _by_name(different, own_name, own_size, first)
+        windows = own_size - LENGTH + 1
+        offset = np.cumsum(windows) - windows
     out, at = [], 0
-    for r, n in zip(rows, names, strict=True):
-        mine = found[at : at + len(n)]
-        at += len(n)
-        out.append(S.pack(np.concatenate(mine) if mine else np.zeros(0, np.int64)))
+    for n in map(len, names):
+        mine = which[at : at + n]
+        at += n
+        out.append(S.pack(firsts[_places(offset[mine], windows[mine])]))
     return pa.table(
         {"bucket": table["bucket"], "chunk": table["chunk"], "shared": table["shared"], "firsts": pa.array(out, pa.binary())}
     )
 
 
-def _by_name(
-    strings: pa.Array, name: np.ndarray, size: np.ndarray, owner: np.ndarray
-) -> list[np.ndarray]:
-    """For each string, the first owner of each of its windows among the strings of its name."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(name)
+def _places(offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The places ``offset, offset + 1, ...`` of as many windows, string after string."""
+    return np.repeat(offset - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+
+
+def _by_name(strings: pa.Array, name: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The first owner of each window of each string, in order, among the strings of its name."""
+    windows = size - LENGTH + 1
+    offset = np.cumsum(windows) - windows
+    # A string that is alone under its name needs no index.
+    out = np.repeat(owner, windows)
     order = np.argsort(name, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-    group, symbols = [], 0
-    blocks = []
-    for members in np.split(order, heads[1:]):
-        if len(members) == 1:
-            only = int(members[0])
-            out[only] = np.full(size[only] - LENGTH + 1, owner[only])
-            continue
-        need = int(size[members].sum()) + len(members)
-        if group and symbols + need > GOOD:
-            blocks.append(np.concatenate(group))
-            group, symbols = [], 0
-        group.append(members)
+    forms = np.diff(np.append(heads, len(order)))
+    several = np.flatnonzero(forms > 1)
+    if not len(several):
+        return out
+    needs = np.add.reduceat(size[order] + 1, heads)[several].tolist()
+    group = order[np.repeat(forms > 1, forms)]
+    cuts, symbols, end = [0], 0, 0
+    for n, need in zip(forms[several].tolist(), needs, strict=True):
+        if symbols and symbols + need > GOOD:
+            cuts.append(end)
+            symbols = 0
         symbols += need
-    if group:
-        blocks.append(np.concatenate(group))
-    for members in blocks:
+        end += n
+    for low, high in zip(cuts, [*cuts[1:], end], strict=True):
+        members = group[low:high]
         joined = b"".join(strings.take(pa.array(members)).to_pylist())
         index = RunIndex(np.frombuffer(joined, np.uint8), size[members], owner[members], LENGTH)
-        firsts = index.stream()
-        cuts = np.cumsum(size[members] - LENGTH + 1)
-        for m, part in zip(members.tolist(), np.split(firsts, cuts[:-1]), strict=True):
-            out[m] = part
+        out[_places(offset[members], windows[members])] = index.stream()
     return out
 
 

@@ -4,7 +4,8 @@ The strings are sorted by all their suffixes, each string closed by a mark of it
 of the transform are kept: where each begins and how far its rows move in one backward step. Rows
 whose suffixes share ``length`` bytes form an interval; an interval keeps the smallest owner among
 its suffixes, sampled at its ends. Streaming a string backwards through the runs yields the row, and
-so the interval, of every window without the suffix array.
+so the interval, of every window without the suffix array. Two directories name the run and the
+interval of a row, so a step looks nothing up by search.
 """
 
 from __future__ import annotations
@@ -85,6 +86,7 @@ class RunIndex:
         target = np.empty(len(heads), np.int64)
         target[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         self.moves = target - self.starts
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), lengths)
 
     def _intervals(self, kept: tuple[int, np.ndarray], order: np.ndarray, owners: np.ndarray) -> None:
         """Neighbouring suffixes share ``length`` bytes when the kept depth agrees at both ends of them.
@@ -96,9 +98,10 @@ class RunIndex:
         if 2 * depth >= self.length:
             last = np.minimum(order + (self.length - depth), len(order) - 1)
             same = (rank[order[1:]] == rank[order[:-1]]) & (rank[last[1:]] == rank[last[:-1]])
-        self.first_rows = np.flatnonzero(np.concatenate([[True], ~same]))
-        whose = owners[np.searchsorted(self.ends, order)]
-        self.smallest = np.minimum.reduceat(whose, self.first_rows)
+        head = np.concatenate([[True], ~same])
+        whose = np.repeat(owners, self.sizes + 1)[order]
+        self.smallest = np.minimum.reduceat(whose, np.flatnonzero(head))
+        self.interval_of = np.cumsum(head, dtype=np.int32) - 1
 
     def stream(self) -> np.ndarray:
         """For each window of ``length`` bytes of each string, in order, the smallest owner of an equal one.
@@ -110,13 +113,12 @@ class RunIndex:
         out = np.empty(int(windows.sum()), self.smallest.dtype)
         by_size = np.argsort(-self.sizes, kind="stable")
         sizes = self.sizes[by_size]
+        last = (offset + self.sizes)[by_size]
         row = by_size.copy()
         for step in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
             going = int(np.searchsorted(-sizes, -step, side="right"))
             row = row[:going]
-            row = row + self.moves[np.searchsorted(self.starts, row, side="right") - 1]
+            row = row + self.moves[self.run_of[row]]
             if step >= self.length:
-                who = by_size[:going]
-                spot = np.searchsorted(self.first_rows, row, side="right") - 1
-                out[offset[who] + self.sizes[who] - step] = self.smallest[spot]
+                out[last[:going] - step] = self.smallest[self.interval_of[row]]
         return out

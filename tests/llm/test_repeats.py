@@ -89,6 +89,27 @@ def test_two_long_documents_share_a_line_template(spark):
     assert bytes(got[1]["kept"]) == hashlib.sha256(kept).digest()
 
 
+def test_index_finds_runs_and_intervals_without_search(monkeypatch):
+    """A step of the stream looks up one length; rows find their run and interval by a directory."""
+    import numpy as np
+
+    from cohort_spark.llm import run_index
+
+    rng = random.Random(3)
+    base = bytes(rng.choice(b"ab ") for _ in range(300))
+    parts = [base[a : a + rng.randrange(50, 111)] for a in (rng.randrange(180) for _ in range(80))]
+    owners = np.array([rng.randrange(20) for _ in parts], np.int64)
+    first = {}
+    for part, owner in zip(parts, owners.tolist(), strict=True):
+        for i in range(len(part) - 49):
+            first[part[i : i + 50]] = min(first.get(part[i : i + 50], owner), owner)
+    sought, plain = [], np.searchsorted
+    monkeypatch.setattr(run_index.np, "searchsorted", lambda a, v, **k: sought.append(np.size(v)) or plain(a, v, **k))
+    index = run_index.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), owners, 50)
+    assert index.stream().tolist() == [first[p[i : i + 50]] for p in parts for i in range(len(p) - 49)]
+    assert sum(sought) <= max(map(len, parts))
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
