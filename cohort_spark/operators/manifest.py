@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.core import check_unique, durable, enforce, finite, require_columns
 from cohort_spark.functions import series as S
-from cohort_spark.skew import group_sizes, largest_group, running_totals
+from cohort_spark.skew import group_sizes, groups_within, running_totals
 
 KEYS = ("StudyInstanceUID", "SeriesInstanceUID")
 
@@ -68,20 +68,24 @@ def _evidence_columns() -> list[Column]:
     ]
 
 
-def _listed(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One aggregation: every group becomes a list that is sorted by the evidence it supports."""
+def _listed(slices: DataFrame, keys: Sequence[str], distinct: Mapping[str, str]) -> DataFrame:
+    """One aggregation: every group becomes a list that is sorted by the evidence it supports.
+
+    The rows are dealt as they are: lists and first values of a few rows each would only make them wider.
+    """
     child = F.struct(
         F.col("SpatialSliceCoordinate").alias("coordinate"),
         F.col("InstanceNumber").isNull().alias("unnumbered"),
         F.col("InstanceNumber").alias("instance"),
         F.col("dicom_path").alias("path"),
     )
-    grouped = slices.groupBy(*keys).agg(
+    grouped = slices.repartition(*keys).groupBy(*keys).agg(
         F.count("*").alias("slice_count"),
         F.count("SpatialSliceCoordinate").alias("_located"),
         F.count("InstanceNumber").alias("_numbered"),
         F.collect_list(child).alias("_children"),
         *_attributes(slices),
+        *[F.size(F.collect_set(c)).cast("bigint").alias(name) for name, c in distinct.items()],
     )
 
     def distinct_size(field: str) -> Column:
@@ -140,7 +144,9 @@ def _matched(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) ->
     return df.join(right, same, how).drop(*[f"_of_{k}" for k in keys])
 
 
-def _sliced(slices: DataFrame, keys: Sequence[str], rows_per_task: int, rows_per_chunk: int) -> DataFrame:
+def _sliced(
+    slices: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], rows_per_task: int, rows_per_chunk: int
+) -> DataFrame:
     """Large groups: rank the children across slices of the group, then list them chunk by chunk."""
     summary = slices.groupBy(*keys).agg(
         F.count("*").alias("slice_count"),
@@ -148,7 +154,8 @@ def _sliced(slices: DataFrame, keys: Sequence[str], rows_per_task: int, rows_per
         F.count("InstanceNumber").alias("_numbered"),
         *_attributes(slices),
     )
-    for column, name in (("SpatialSliceCoordinate", "_places"), ("InstanceNumber", "_numbers")):
+    counted = {"_places": "SpatialSliceCoordinate", "_numbers": "InstanceNumber", **distinct}
+    for name, column in counted.items():
         summary = _matched(summary, _distinct_counts(slices, keys, column, name), keys, "inner")
     # One row per large group, stored: both the ranking and the final rows use it.
     summary = durable(summary.select("*", *_evidence_columns()))
@@ -195,6 +202,7 @@ def order_children(
     slices: DataFrame,
     keys: Sequence[str] = KEYS,
     *,
+    distinct: Mapping[str, str] | None = None,
     rows_per_task: int = ROWS_PER_CHUNK,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
@@ -202,20 +210,22 @@ def order_children(
 
     Evidence is coordinate, then instance number, then path. One row per (group, chunk): a group of
     up to ``rows_per_chunk`` children is one row, as in a plain list form; a larger one continues in
-    further rows, so no row and no task ever holds an unbounded group.
+    further rows, so no row and no task ever holds an unbounded group. ``distinct`` names columns
+    whose distinct values are counted along the way.
     """
+    distinct = distinct or {}
     require_columns(
-        slices, [*keys, "dicom_path", "SpatialSliceCoordinate", "InstanceNumber"]
+        slices, [*keys, "dicom_path", "SpatialSliceCoordinate", "InstanceNumber", *distinct.values()]
     )
     slices = slices.withColumn("SpatialSliceCoordinate", finite(F.col("SpatialSliceCoordinate")))
     limit = min(rows_per_task, rows_per_chunk)
-    if largest_group(slices, keys) <= limit:
-        listed = _listed(slices, keys)
+    if groups_within(slices, keys, limit):
+        listed = _listed(slices, keys, distinct)
     else:
         # At most total/limit groups are large; storing their keys fixes the split for both sides.
         large = durable(group_sizes(slices, keys).where(F.col("n") > limit).select(*keys))
-        small_part = _listed(_matched(slices, large, keys, "left_anti"), keys)
-        large_part = _sliced(_matched(slices, large, keys, "left_semi"), keys, limit, rows_per_chunk)
+        small_part = _listed(_matched(slices, large, keys, "left_anti"), keys, distinct)
+        large_part = _sliced(_matched(slices, large, keys, "left_semi"), keys, distinct, limit, rows_per_chunk)
         listed = small_part.unionByName(large_part)
     children = F.col("_children")
     return listed.withColumns(
@@ -278,9 +288,8 @@ def series_manifest(
 ) -> DataFrame:
     """Ordered, auditable series rows with attributes and, when given, descriptors."""
     require_columns(slices, [*KEYS, "SOPInstanceUID"])
-    ordered = order_children(slices, **limits)
-    sops = _distinct_counts(slices, KEYS, "SOPInstanceUID", "unique_sop_count")
-    manifest = _matched(ordered, sops, KEYS, "left")
+    ordered = order_children(slices, distinct={"unique_sop_count": "SOPInstanceUID"}, **limits)
+    manifest = ordered.select(*[c for c in ordered.columns if c != "unique_sop_count"], "unique_sop_count")
     if descriptors is None:
         return manifest
     enforce(check_unique(descriptors, KEYS, "series descriptors are unique"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions import text as X
 from cohort_spark.operators import labels as L
+from cohort_spark.operators import manifest as M
 from cohort_spark.streaming import status as S
 from testbed import ingest_queries as Q
 
@@ -70,3 +71,39 @@ def test_scripts_and_tokens_of_any_text_without_matching_every_token(spark):
     assert {k: sorted(m) for k, m in found.items()} == {i: sorted(words & set(runs(t.lower()))) for i, t in enumerate(texts) if t is not None}
     plan = L.with_language(docs, "t", is_composed=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+HEADERS = (
+    "StudyInstanceUID string, SeriesInstanceUID string, SOPInstanceUID string, dicom_path string, SpatialSliceCoordinate double, "
+    "InstanceNumber bigint, PatientID string, Manufacturer string, MagneticFieldStrength double"
+)
+
+
+def _headers(spark, rows):
+    """A header table that counts the rows read from it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, HEADERS).mapInArrow(count, HEADERS), read
+
+
+ROWS = [
+    ("s1", "a", "1", "s1/a/1", 2.0, 1, "p", None, 1.5), ("s1", "a", "1", "s1/a/2", 2.0, 2, "p", "m", 1.5), ("s1", "a", None, "x/3", None, 3, "p", "m", None),
+    ("s2", "b", "4", "s2/b/4", float("nan"), 1, None, "n", 3.0), ("s2", "b", "5", "s2/b/5", 1.0, 2, None, "n", float("nan")), ("s2", None, "6", "f", 0.0, 1, None, "n", 3.0),
+    ("s3", None, "7", "g", -0.0, None, "q", "n", 3.0), (None, "c", "8", "h/i", 7.0, 1, "q", "n", 3.0), ("s4", "c", "9", "h/j", 8.0, 2, "", "n", 3.0),
+]
+
+
+def test_manifest_reads_its_headers_twice(spark):
+    slices, read = _headers(spark, ROWS)
+    found = {(r.StudyInstanceUID, r.SeriesInstanceUID): (r.slice_count, r.unique_sop_count, r.Manufacturer) for r in M.series_manifest(slices).collect()}
+    assert found == {("s1", "a"): (3, 1, "m"), ("s2", "b"): (2, 2, "n"), ("s2", None): (1, 1, "n"), ("s3", None): (1, 1, "n"), (None, "c"): (1, 1, "n"), ("s4", "c"): (1, 1, "n")}
+    assert read.value == 2 * len(ROWS)
+    sliced = M.series_manifest(slices, rows_per_task=1, rows_per_chunk=2)
+    assert sliced.schema.simpleString() == M.series_manifest(slices).schema.simpleString()
+    again = {(r.StudyInstanceUID, r.SeriesInstanceUID): (r.slice_count, r.unique_sop_count, r.Manufacturer) for r in sliced.where("chunk = 0").collect()}
+    assert again == found
