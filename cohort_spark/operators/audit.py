@@ -54,9 +54,14 @@ def missingness(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         *[F.count_if(is_missing(df, c)).alias(f"m::{c}") for c in df.columns],
     )
+    return _missing_rows(counts, df.columns)
+
+
+def _missing_rows(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column from one row of counts ``n, m::<column>``."""
     return counts.select(
         _cells(
-            df.columns,
+            columns,
             lambda c: F.struct(
                 F.lit(c).alias("column"),
                 F.col(f"`m::{c}`").alias("missing_count"),
@@ -441,18 +446,111 @@ def table_audit(
     return assemble_audit(train.sparkSession, nodes)
 
 
+def _header_cells(slices: DataFrame, series: str, coordinate: str, categories: Sequence[str]) -> DataFrame:
+    """``part, column, value, place, n``: how often each value of a header table occurs, from one pass.
+
+    Parts are identifiers (with the coordinate beside the series), categories, path depths, and which
+    columns a row misses. Values are combined before the shuffle, and coordinates spread a large series.
+    """
+    place_type = slices.schema[coordinate].dataType
+    text = lambda c: F.when(~is_missing(slices, c), F.col(c).cast("string"))
+
+    def cell(part: str, column: str | None, value: Column, place: Column | None = None) -> Column:
+        at = F.lit(None).cast(place_type) if place is None else place
+        return F.struct(F.lit(part).alias("part"), F.lit(column).cast("string").alias("column"), value.alias("value"), at.alias("place"))
+
+    identifiers = [c for c in TOTAL_IDS.values() if c in slices.columns]
+    missing = F.concat(*[F.when(is_missing(slices, c), "1").otherwise("0") for c in slices.columns])
+    cells = [cell("identifier", c, text(c), F.col(coordinate) if c == series else None) for c in identifiers]
+    cells += [cell("category", c, text(c)) for c in categories]
+    cells += [cell("depth", None, path_depth(F.col("dicom_path")).cast("string")), cell("missing", None, missing)]
+    return slices.select(F.inline(F.array(*cells))).groupBy("part", "column", "value", "place").agg(F.count("*").alias("n"))
+
+
+def _header_counts(slices: DataFrame, series: str, coordinate: str, categories: Sequence[str]) -> DataFrame:
+    """The cells with identifiers reduced to ``n, known, groups``: how many values occur n times.
+
+    Series meet once more, with the coordinates of each added up, and carry whether these are complete and distinct.
+    """
+    identifier, of_series = F.col("part") == "identifier", F.col("column") == series
+    named = ~identifier | of_series
+    lone = identifier & ~of_series
+    known = F.col("value").isNotNull()
+    # An identifier other than the series is whole here and leaves only its number of rows.
+    per_value = (
+        _header_cells(slices, series, coordinate, categories)
+        .groupBy(
+            "part", "column", known.alias("known"), F.when(named, F.col("value")).alias("value"), F.when(lone, F.col("n")).alias("times")
+        )
+        .agg(
+            F.sum("n").alias("rows"),
+            F.count("*").alias("cells"),
+            F.sum(F.when(F.col("place").isNotNull(), F.col("n")).otherwise(0)).alias("present"),
+            F.count("place").alias("unique"),
+        )
+    )
+    within = identifier & of_series
+    return per_value.groupBy(
+        "part",
+        "column",
+        "known",
+        F.when(~identifier, F.col("value")).alias("value"),
+        F.when(within, F.col("rows")).otherwise(F.col("times")).alias("n"),
+        F.when(within, F.col("present") == F.col("rows")).alias("complete"),
+        F.when(within, F.col("unique") == F.col("rows")).alias("distinct"),
+    ).agg(F.sum("rows").alias("rows"), F.sum(F.when(within, F.lit(1)).otherwise(F.col("cells"))).alias("groups"))
+
+
 def header_audit(slices: DataFrame) -> DataFrame:
-    """Audit of a header table as ``node, body`` rows."""
-    return assemble_audit(
-        slices.sparkSession,
-        {
-            "totals": totals(slices),
-            "missingness": missingness(slices),
-            "duplicate_identifier_rows": duplicate_ids(slices),
-            "series_slice_distribution": group_size_distribution(slices),
-            "series_slice_frequency": group_size_frequency(slices),
-            "geometry": ordering_reliability(slices),
-            "categorical_distributions": value_distributions(slices),
-            "relative_path_depth_distribution": path_depths(slices),
-        },
+    """Audit of a header table as ``node, body`` rows.
+
+    The nodes are those of the single audits; all are read from one stored table of counts, which one
+    pass over the headers yields. Its rows are the categories' values and the sizes of groups that occur.
+    """
+    series, categories = "SeriesInstanceUID", [c for c in CATEGORICAL_COLUMNS if c in slices.columns]
+    counts = durable(_header_counts(slices, series, "SpatialSliceCoordinate", categories))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    part = lambda name: F.col("part") == name
+    named, of_series = lambda c: part("identifier") & (F.col("column") == c), counts.where(part("identifier") & (F.col("column") == series))
+
+    def values_of(column: str) -> Column:
+        if column not in slices.columns:
+            return F.lit(None).cast("bigint")
+        return whole(F.when(named(column) & F.col("known"), F.col("groups")))
+
+    totals_row = counts.agg(
+        whole(F.when(part("missing"), F.col("rows"))).alias("dicom_count"), *[values_of(c).alias(n) for n, c in TOTAL_IDS.items()]
+    ).withColumn("patient_count_if_recoverable", F.nullif("patient_count_if_recoverable", F.lit(0)))
+    missed = counts.where(part("missing")).agg(
+        whole("rows").alias("n"),
+        *[whole(F.when(F.substring("value", i + 1, 1) == "1", F.col("rows"))).alias(f"m::{c}") for i, c in enumerate(slices.columns)],
     )
+    keys = [c for c in ("StudyInstanceUID", series, "SOPInstanceUID") if c in slices.columns]
+    groups = lambda *flags: whole(F.when(flags[0] if len(flags) == 1 else flags[0] & flags[1], F.col("groups")))
+    nodes = {
+        "totals": totals_row,
+        "missingness": _missing_rows(missed, slices.columns),
+        "duplicate_identifier_rows": counts.where(part("identifier") & F.col("column").isin(keys))
+        .groupBy("column")
+        .agg(whole(F.when(F.col("known") & (F.col("n") > 1), F.col("rows"))).alias("duplicate_rows")),
+        "series_slice_distribution": of_series.agg(
+            whole("groups").alias("series_count"),
+            F.min("n").alias("min"),
+            F.percentile("n", 0.5, F.col("groups")).alias("median"),
+            F.max("n").alias("max"),
+        ),
+        "series_slice_frequency": of_series.groupBy(F.col("n").alias("size")).agg(F.sum("groups").alias("frequency")),
+        "geometry": of_series.agg(
+            groups(F.col("complete")).alias("series_with_all_coordinates"),
+            groups(F.col("distinct")).alias("series_with_unique_coordinates"),
+            groups(F.col("complete"), F.col("distinct")).alias("series_reliably_orderable"),
+            whole("groups").alias("series_total"),
+        ),
+        "categorical_distributions": counts.where(part("category")).select(
+            "column", F.coalesce("value", F.lit("<missing>")).alias("value"), F.col("rows").alias("n")
+        ),
+        "relative_path_depth_distribution": counts.where(part("depth")).select(
+            F.col("value").cast("int").alias("depth"), F.col("rows").alias("n")
+        ),
+    }
+    return assemble_audit(slices.sparkSession, nodes)

@@ -6,9 +6,11 @@ import unicodedata
 from datetime import timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohort_spark.functions import text as X
+from cohort_spark.operators import audit as A
 from cohort_spark.operators import labels as L
 from cohort_spark.operators import manifest as M
 from cohort_spark.streaming import status as S
@@ -107,3 +109,20 @@ def test_manifest_reads_its_headers_twice(spark):
     assert sliced.schema.simpleString() == M.series_manifest(slices).schema.simpleString()
     again = {(r.StudyInstanceUID, r.SeriesInstanceUID): (r.slice_count, r.unique_sop_count, r.Manufacturer) for r in sliced.where("chunk = 0").collect()}
     assert again == found
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_header_audit_is_its_single_audits_from_one_reading(spark, rows):
+    slices, read = _headers(spark, rows)
+    got = A.header_audit(slices)
+    assert read.value == len(rows)
+    plain = spark.createDataFrame(rows, HEADERS)
+    single = {
+        "totals": A.totals(plain), "missingness": A.missingness(plain), "duplicate_identifier_rows": A.duplicate_ids(plain),
+        "series_slice_distribution": A.group_size_distribution(plain), "series_slice_frequency": A.group_size_frequency(plain),
+        "geometry": A.ordering_reliability(plain), "categorical_distributions": A.value_distributions(plain),
+        "relative_path_depth_distribution": A.path_depths(plain),
+    }
+    want = A.assemble_audit(spark, single)
+    assert got.schema == want.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
