@@ -3,9 +3,11 @@
 *Replicates* share the order of the scores and differ in the weights of the rows. The rows are put in
 order once, and every task adds up vectors (one number per replicate) along its part of the order.
 
-*Candidates* differ in the scores. A task scores its rows for all candidates and sends, per candidate
-and score range, sorted arrays in one row; the pairs within a range are counted on these arrays and
-those across ranges from the ranges' totals.
+*Candidates* differ in the scores. A task scores a piece of the rows for one candidate after the other
+and sends, per candidate and score range, sorted arrays in one row, equal scores counted; the pairs
+within a range are counted on these arrays and those across ranges from the ranges' totals. The ranges
+of a candidate hold equally many rows, however its scores are spread, so no step holds more of a target
+than one range or one piece.
 
 Areas are whole numbers (twice the count of ordered pairs) until the last division.
 """
@@ -18,14 +20,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_spark.core import durable
+
 # Rows of one part of the order, and rows that meet their replicates' weights at once.
 ROWS_PER_SLICE = 4_096
 BLOCK = 1_024
-# Rows of one score range of a candidate.
+# Rows of one score range of a candidate, and sampled rows that place a bound between two ranges.
 ROWS_PER_RANGE = 50_000
+ROWS_PER_BOUND = 200
+# Rows that a task scores at once, sorted scores of one batch that it sends, and scores that meet their pairs at once.
+ROWS_PER_PIECE = 32_768
+CELLS_PER_BATCH = 131_072
+SCORES_AT_ONCE = 4_096
 
 # A draw is four hexadecimal digits of a digest, which serves eight replicates.
 DIGITS = 4
@@ -135,63 +145,134 @@ def resampled_aucs(known: DataFrame, *, replicates: int, seed: int, rows_per_sli
 
 
 _PACKED = "target string, candidate int, range int, scores binary, codes binary, counts binary"
+_PACKED_ARROW = pa.schema(
+    [("target", pa.string()), ("candidate", pa.int32()), ("range", pa.int32()), ("scores", pa.binary()), ("codes", pa.binary()), ("counts", pa.binary())]
+)
 _RANGES = "target string, candidate int, range int, positives array<bigint>, negatives array<bigint>, area array<bigint>"
 _AUCS = "target string, candidate int, held_out {fold}, known bigint, positives bigint, negatives bigint, auc double"
 
 
-def _packed(sources: Sequence[str], candidates: np.ndarray, folds: list, low: float, width: float, ranges: int):
-    number = {f: i for i, f in enumerate(folds)}
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in pieces of one size, whatever the size of the batches."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, ROWS_PER_PIECE - rows)
+            waiting.append(part)
+            rows += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if rows == ROWS_PER_PIECE:
+                yield pa.Table.from_batches(waiting)
+                waiting, rows = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _mixed(weights: Sequence[float], columns: Sequence[np.ndarray]) -> np.ndarray:
+    score = np.zeros(len(columns[0]))
+    for w, x in zip(weights, columns, strict=True):
+        score = score + w * x
+    return np.where(np.isfinite(score), score, -np.inf)
+
+
+def _bounds(rows: DataFrame, sources: Sequence[str], candidates: np.ndarray, size: int, ranges: int) -> np.ndarray:
+    """Per candidate, the scores between its ranges. They only deal the rows, so a sample places them."""
+    if ranges < 2:
+        return np.empty((len(candidates), 0))
+    share = min(1.0, ranges * ROWS_PER_BOUND / size)
+    drawn = rows.select(*sources).sample(share, seed=1).toArrow()
+    columns = [drawn[s].to_numpy() for s in sources]
+    at = np.arange(1, ranges) * drawn.num_rows // ranges
+    return np.array([np.sort(_mixed(w, columns))[at] if drawn.num_rows else [] for w in candidates])
+
+
+def _packed(sources: Sequence[str], candidates: np.ndarray, folds: list, bounds: np.ndarray):
+    small = _code_type(len(folds))
+
+    def cells(piece: pa.Table) -> Iterator[tuple]:
+        fold = piece["fold"].combine_chunks()
+        code = 2 * pc.index_in(fold, pa.array(folds, fold.type)).to_numpy(zero_copy_only=False) + piece["gold"].to_numpy()
+        code = code.astype(small)
+        columns = [piece[s].to_numpy() for s in sources]
+        targets = piece["target"].combine_chunks().dictionary_encode("encode")
+        at = targets.indices.to_numpy()
+        for t, name in enumerate(targets.dictionary.to_pylist()):
+            mine = np.flatnonzero(at == t)
+            mine = mine[np.argsort(code[mine], kind="stable")]
+            own, values = code[mine], [x[mine] for x in columns]
+            for c, weights in enumerate(candidates):
+                score = _mixed(weights, values)
+                order = np.argsort(score, kind="stable")
+                score, codes = score[order], own[order]
+                new = np.ones(len(score), bool)
+                new[1:] = (score[1:] != score[:-1]) | (codes[1:] != codes[:-1])
+                first = np.flatnonzero(new)
+                counts = np.diff(np.append(first, len(score))).astype(np.uint32)
+                score, codes = score[first], codes[first]
+                cuts = [0, *np.searchsorted(score, bounds[c]).tolist(), len(score)]
+                for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if a < b:
+                        # Counts of one each are left out.
+                        several = counts[a:b] if (counts[a:b] > 1).any() else counts[:0]
+                        yield name, c, r, score[a:b].tobytes(), codes[a:b].tobytes(), several.tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(s).to_numpy(zero_copy_only=False).astype(float) for s in sources]
-            code = np.array([2 * number[f] for f in batch.column("fold").to_pylist()], np.int64) + batch.column("gold").to_numpy()
-            names, at = np.unique(np.array(batch.column("target").to_pylist(), object), return_inverse=True)
-            out = []
-            for t, name in enumerate(names):
-                mine = np.flatnonzero(at == t)
-                for c, weights in enumerate(candidates):
-                    score = np.zeros(len(mine))
-                    for w, x in zip(weights, columns, strict=True):
-                        score = score + w * x[mine]
-                    score = np.where(np.isfinite(score), score, -np.inf)
-                    order = np.lexsort((code[mine], score))
-                    score, codes = score[order], code[mine][order]
-                    new = np.ones(len(score), bool)
-                    new[1:] = (score[1:] != score[:-1]) | (codes[1:] != codes[:-1])
-                    first = np.flatnonzero(new)
-                    counts = np.diff(np.append(first, len(score)))
-                    score, codes = score[first], codes[first]
-                    part = np.clip(np.floor((np.maximum(score, low) - low) / width), 0, ranges - 1).astype(np.int64)
-                    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                    for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
-                        cells = (score[a:b], codes[a:b].astype(np.uint16), counts[a:b].astype(np.uint32))
-                        out.append((name, c, int(part[a]), *(x.tobytes() for x in cells)))
-            if out:
-                names_ = ["target", "candidate", "range", "scores", "codes", "counts"]
-                types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                cells = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(cells, names=names_)
+        out: list[tuple] = []
+        held = 0
+        for piece in _pieces(batches):
+            for cell in cells(piece):
+                out.append(cell)
+                held += len(cell[3]) // 8
+                if held >= CELLS_PER_BATCH:
+                    yield _batch(out)
+                    out, held = [], 0
+        if out:
+            yield _batch(out)
 
     return work
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), _PACKED_ARROW.types, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in columns], schema=_PACKED_ARROW)
+
+
+def _code_type(folds: int) -> type:
+    """A code is twice the number of the fold plus the gold."""
+    return np.uint8 if folds <= 128 else np.uint16
+
+
 def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist()])
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[column]])
+
+
+def _counts(table: pa.Table) -> np.ndarray:
+    rows = zip(table["scores"], table["counts"], strict=True)
+    return np.concatenate([np.frombuffer(n.as_buffer(), np.uint32) if len(n.as_buffer()) else np.ones(len(s.as_buffer()) // 8, np.uint32) for s, n in rows])
 
 
 def _range_sums(folds: int):
+    kind = _code_type(folds)
+
     def work(table: pa.Table) -> pa.Table:
-        scores, codes = _joined(table, "scores", np.float64), _joined(table, "codes", np.uint16).astype(np.int64)
-        counts = _joined(table, "counts", np.uint32)
-        values, row = np.unique(scores, return_inverse=True)
-        grid = np.bincount(row * (2 * folds) + codes, counts, len(values) * 2 * folds).astype(np.int64).reshape(len(values), folds, 2)
-        negatives, positives = grid[:, :, 0], grid[:, :, 1]
-        below = np.cumsum(negatives, axis=0) - negatives
-        area = positives.T @ (2 * below + negatives)
-        sums = {"positives": positives.sum(axis=0), "negatives": negatives.sum(axis=0), "area": area.ravel()}
+        scores = _joined(table, "scores", np.float64)
+        order = np.argsort(scores)
+        scores, codes, counts = scores[order], _joined(table, "codes", kind)[order], _counts(table)[order]
+        new = np.append(True, scores[1:] != scores[:-1])
+        row = np.cumsum(new)
+        cuts = np.append(np.flatnonzero(new)[::SCORES_AT_ONCE], len(scores)).tolist()
+        positives, negatives, area = np.zeros(folds, np.int64), np.zeros(folds, np.int64), np.zeros((folds, folds), np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = row[a:b] - row[a]
+            n = int(here[-1]) + 1
+            grid = np.bincount(here * (2 * folds) + codes[a:b], counts[a:b], n * 2 * folds).astype(np.int64).reshape(n, folds, 2)
+            q, p = grid[:, :, 0], grid[:, :, 1]
+            area += p.T @ (2 * (negatives + np.cumsum(q, axis=0)) - q)
+            positives += p.sum(axis=0)
+            negatives += q.sum(axis=0)
         head = table.slice(0, 1).select(["target", "candidate", "range"])
-        for name, x in sums.items():
+        for name, x in {"positives": positives, "negatives": negatives, "area": area.ravel()}.items():
             head = head.append_column(name, pa.array([x.tolist()], pa.list_(pa.int64())))
         return head
 
@@ -203,7 +284,9 @@ def _held_out(folds: list, fold_type: pa.DataType):
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("range")
-        positives, negatives, area = (np.array(table[c].to_pylist(), np.int64) for c in ("positives", "negatives", "area"))
+        positives, negatives, area = (
+            table[c].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) for c in ("positives", "negatives", "area")
+        )
         below = np.cumsum(negatives, axis=0) - negatives
         whole = area.sum(axis=0).reshape(n, n) + 2 * positives.T @ below
         p, q = positives.sum(axis=0), negatives.sum(axis=0)
@@ -231,14 +314,14 @@ def held_out_candidate_aucs(
     ``known`` has ``fold, target, gold`` and the sources, gold 0 or 1; each AUC is over the rows of the
     other folds. A sum that is not finite is below all others.
     """
-    rows = known.select("fold", "target", F.col("gold").cast("int").alias("gold"), *[F.col(s).cast("double").alias(s) for s in sources])
-    finite = [F.when(F.abs(s) < float("inf"), F.col(s)) for s in sources]
-    size, low, high = rows.agg(F.count("*"), F.min(F.least(*finite, F.lit(None))), F.max(F.greatest(*finite, F.lit(None)))).first()
-    ranges = max(1, -(-size // rows_per_range))
-    low, high = (0.0, 1.0) if low is None else (low, high)
-    width = (high - low) / ranges or 1.0
-    weights = np.array(candidates, float)
-    packed = rows.mapInArrow(_packed(list(sources), weights, folds, low, width, ranges), _PACKED)
+    # Read to count them, to place the ranges and to score them.
+    rows = durable(
+        known.select("fold", "target", F.col("gold").cast("int").alias("gold"), *[F.col(s).cast("double").alias(s) for s in sources])
+    )
+    size, weights = rows.count(), np.array(candidates, float)
+    bounds = _bounds(rows, sources, weights, size, max(1, -(-size // rows_per_range)))
+    pieces = rows.repartition(max(1, -(-size // ROWS_PER_PIECE)))
+    packed = pieces.mapInArrow(_packed(list(sources), weights, folds, bounds), _PACKED)
     sums = packed.groupBy("target", "candidate", "range").applyInArrow(_range_sums(len(folds)), _RANGES)
     fold = known.schema["fold"].dataType.simpleString()
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16()}[fold]

@@ -6,13 +6,17 @@ import unicodedata
 from datetime import timedelta
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohort_spark.functions import text as X
 from cohort_spark.operators import audit as A
+from cohort_spark.operators import blending as B
 from cohort_spark.operators import labels as L
 from cohort_spark.operators import manifest as M
+from cohort_spark.operators import metrics as E
+from cohort_spark.operators import vector_auc as W
 from cohort_spark.streaming import status as S
 from testbed import ingest_queries as Q
 
@@ -126,3 +130,49 @@ def test_header_audit_is_its_single_audits_from_one_reading(spark, rows):
     want = A.assemble_audit(spark, single)
     assert got.schema == want.schema
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_fusion_holds_one_range_or_one_batch_at_a_time(spark, monkeypatch):
+    """Scores that crowd, tie or lie far off, in small batches: what Python holds follows the set sizes, not the rows."""
+    rng = np.random.default_rng(5)
+    near = lambda i: 0.5 if i % 3 == 0 else float(0.5 + rng.random() * 1e-6)
+    rows = [(i % 3, t, int(rng.random() < 0.5), near(i), near(i + 1)) for i in range(3000) for t in ("x", None)] + [(0, "x", 1, 1e9, -1e9)]
+    known = spark.createDataFrame(rows, "fold int, target string, gold int, a double, b double").repartition(3)
+    range_sums, packed = W._range_sums, W._packed
+
+    def checked_sums(*args):
+        work = range_sums(*args)
+
+        def checked(table):
+            cells = sum(len(x.as_py()) // 8 for x in table["scores"])
+            assert cells <= 400 and table.num_rows <= 6, (cells, table.num_rows)
+            return work(table)
+
+        return checked
+
+    def checked_packed(*args):
+        work = packed(*args)
+
+        def checked(batches):
+            for out in work(batches):
+                assert out.nbytes < 4_000_000, out.nbytes
+                yield out
+
+        return checked
+
+    weights, folds = B.simplex_weights(2, 0.005), [0, 1, 2]
+    monkeypatch.setattr(W, "_range_sums", checked_sums)
+    monkeypatch.setattr(W, "_packed", checked_packed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = W.held_out_candidate_aucs(known, ["a", "b"], weights, folds, rows_per_range=200).where("candidate IN (0, 77, 200)").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fanned = known.select("fold", "target", "gold", B._fan_out([F.lit(0.0) + F.lit(u) * F.col("a") + F.lit(v) * F.col("b") for u, v in weights])).where("candidate IN (0, 77, 200)")
+    want = B.held_out_aucs(E.score_counts(fanned, ["fold", "candidate"], check=False), folds, ["candidate"]).collect()
+    key = lambda r: (r.target or "", r.candidate, r.held_out)
+    found, direct = {key(r): r for r in got}, {key(r): r for r in want}
+    assert len(found) == 18 and found.keys() == direct.keys()
+    for k, r in direct.items():
+        assert (found[k].known, found[k].positives, found[k].negatives) == (r.known, r.positives, r.negatives)
+        assert found[k].auc == pytest.approx(r.auc, abs=1e-12)
